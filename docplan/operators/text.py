@@ -23,7 +23,7 @@ def _false_boundary() -> str:
     for word in L.ABBREVIATIONS:
         room = 12 - len(word)
         arms += [rf"{start}{word}\.{{0,{room}}}", rf"{word}\.{{{room}}}"]
-    return rf"(?iU)(?<={'|'.join(arms)}){S.OPEN}([^{S.CLOSE}]*){S.CLOSE}"
+    return rf"(?iU){S.OPEN}(?<=(?:{'|'.join(arms)}){S.OPEN})([^{S.CLOSE}]*){S.CLOSE}"
 
 
 def sentences(text: str) -> str:

@@ -153,9 +153,20 @@ SOURCE_KIND = "CASE WHEN doc_id % 7 = 0 THEN 'image' ELSE 'plain_text' END"
 TEXT_CONFIDENCE = "CAST(CASE WHEN doc_id % 7 = 0 THEN 0.61 ELSE 1.0 END AS DOUBLE)"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when a small input has fewer splits than the cluster has slots.
+
+    Analysis is bound by CPU, not by bytes; at scale there are far more splits
+    than slots and nothing is shuffled.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def notices(spark: SparkSession, sf_dir: str, parts: dict[str, str] = PARTS) -> DataFrame:
     """``doc_id, text, text_confidence, source_kind`` plus the columns of the template."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spread(orders.select("o_orderkey", "o_custkey", "o_orderdate"))
     return orders.selectExpr(*[f"{e} as {name}" for name, e in parts.items()]).selectExpr(
         "*", f"{TEXT} as text", f"{TEXT_CONFIDENCE} as text_confidence",
         f"{SOURCE_KIND} as source_kind",
