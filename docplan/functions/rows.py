@@ -50,3 +50,15 @@ class Findings:
     def replace(self, expression: str, fields: str) -> Findings:
         self.fields = fields.split()
         return self._set(expression)
+
+
+def table_of(docs: DataFrame, column: str, *keys: str, position: str | None = None) -> DataFrame:
+    """One row per finding: ``keys``, the fields of the struct, and its position.
+
+    An inner explode of a computed column makes Catalyst infer a non-empty
+    filter, which it pushes below the projection together with a second copy of
+    the whole analysis. An outer explode does not; empty rows are dropped after.
+    """
+    rows = docs.selectExpr(*keys, f"posexplode_outer({column}) as (_pos, _f)")
+    kept = rows.where("_pos IS NOT NULL")
+    return kept.selectExpr(*keys, *([f"_pos as {position}"] if position else []), "_f.*")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from docplan.functions import lexicon as L
 from docplan.functions import spans as S
 from docplan.functions.claims import cap_score, classify_confidence, never_fact, ocr_note
+from docplan.functions.rows import table_of
 
 CRITERION_TYPE = (
     "struct<char_start:int,char_end:int,text:string,attribute:string,comparator:string,"
@@ -200,9 +201,7 @@ def with_criteria(docs: DataFrame, column: str = "criteria") -> DataFrame:
 
 
 def extract_criteria(docs: DataFrame) -> DataFrame:
-    return with_criteria(docs).selectExpr(
-        "doc_id", "posexplode(criteria) as (pos, c)"
-    ).selectExpr("doc_id", "pos", "c.*")
+    return table_of(with_criteria(docs), "criteria", "doc_id", position="pos")
 
 
 # --- checking ---------------------------------------------------------------
@@ -415,9 +414,7 @@ def relevance_claim(
 
 def check_eligibility(docs: DataFrame) -> DataFrame:
     """Needs ``criteria`` and ``profile``; one row per finding."""
-    return with_findings(docs).selectExpr(
-        "doc_id", "profile_id", "posexplode(findings) as (pos, f)"
-    ).selectExpr("doc_id", "profile_id", "pos", "f.*")
+    return table_of(with_findings(docs), "findings", "doc_id", "profile_id", position="pos")
 
 
 def asked_attributes(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from docplan.functions import lexicon as L
 from docplan.functions import spans as S
-from docplan.functions.rows import Findings
+from docplan.functions.rows import Findings, table_of
 
 GAP_TYPE = "struct<char_start:int,char_end:int,text:string,rule:int>"
 
@@ -87,4 +87,4 @@ def vague_referents(docs: DataFrame) -> DataFrame:
 
 
 def extract_gaps(docs: DataFrame) -> DataFrame:
-    return with_gaps(docs).selectExpr("doc_id", "inline(gaps)")
+    return table_of(with_gaps(docs), "gaps", "doc_id")
