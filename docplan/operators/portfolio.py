@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docplan.functions import lexicon as L
 from docplan.functions import spans as S
+from docplan.functions.rows import table_of
 
 MIN_DOCUMENTS, MAX_DOCUMENTS = 2, 12
 COMPARABLE = ("year", "score", "cgpa", "age", "category")
@@ -103,9 +104,8 @@ def deadline_conflicts(portfolios: DataFrame) -> DataFrame:
             "the opportunity if it turns out to be the right one.')",
         )
 
-    return portfolios.selectExpr("portfolio_id", f"inline({_pairs('docs', conflict)})").where(
-        "clash"
-    ).drop("clash")
+    pairs = S.keep(_pairs("docs", conflict), lambda c: f"{c}.clash")
+    return table_of(portfolios, pairs, "portfolio_id").drop("clash")
 
 
 def eligibility_conflicts(portfolios: DataFrame) -> DataFrame:
@@ -130,12 +130,12 @@ def eligibility_conflicts(portfolios: DataFrame) -> DataFrame:
 
         return S.transform(f"{l}.criteria", against)
 
-    nested = f"flatten({_pairs('docs', conflicts)})"
-    return portfolios.selectExpr("portfolio_id", f"inline({nested})").where("clash").drop("clash")
+    pairs = S.keep(f"flatten({_pairs('docs', conflicts)})", lambda c: f"{c}.clash")
+    return table_of(portfolios, pairs, "portfolio_id").drop("clash")
 
 
 def portfolio_steps(members: DataFrame, analysed: DataFrame) -> DataFrame:
-    steps = analysed.selectExpr("doc_id", "inline(schedule)").select(
+    steps = table_of(analysed, "schedule", "doc_id").select(
         "doc_id", "action_id", "ord", "description", "latest_start", "effective_deadline",
         "deadline",
     )

