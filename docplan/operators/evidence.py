@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docplan.functions import spans as S
 from docplan.operators.text import RAW_TOKEN, fold_characters, mask_breaks, normalize
@@ -82,7 +83,9 @@ def anchor_exact(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("struct<score:double,lo:int,hi:int>")
+@F.pandas_udf(
+    T.StructType().add("score", T.DoubleType()).add("lo", T.IntegerType()).add("hi", T.IntegerType())
+)
 def _similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Ratcliff-Obershelp similarity and the aligned part of the window."""
     from difflib import SequenceMatcher
