@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docplan.functions import spans as S
+from docplan.functions.rows import table_of
 from docplan.operators.text import RAW_TOKEN, fold_characters, mask_breaks, normalize
 
 # Thresholds of anchoring and of the verification built on it.
 KEEP_AT, VERBATIM_AT = 0.72, 0.92
 VERBATIM_SCORE, LOOSE_SCORE = 0.86, 0.55
 ANCHOR_TOKENS, OCCURRENCES, WINDOW_SLACK = 4, 64, 1.35
+SPAN = "struct<char_start:int,char_end:int>"
 
 
 def _raw_tokens(text: str) -> str:
@@ -28,7 +30,8 @@ def source_span(text: str, start: str, end: str) -> str:
 
     The normalised text is the folded tokens joined by single spaces, so the
     token holding an offset is found by running lengths and the character
-    inside it by folding prefixes of that one token.
+    inside it by folding prefixes of that one token. A joining space stands
+    for the first character after it.
     """
 
     def locate(tokens: str, starts: str, offset: str) -> str:
@@ -41,7 +44,8 @@ def source_span(text: str, start: str, end: str) -> str:
                 lambda n: f"char_length({fold_characters(f'left({masked}, {n})')}) > "
                 f"{offset} - {starts}[{i}]",
             )
-            return f"{tokens}[{i}].char_start + element_at({positions}, 1) - 1"
+            within = f"{tokens}[{i}].char_start + try_element_at({positions}, 1) - 1"
+            return f"coalesce({within}, try_element_at({tokens}, {i} + 2).char_start)"
 
         return S.let(begun, inside)
 
@@ -70,19 +74,29 @@ def anchor_exact(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     Each text is normalised once, before the join on ``doc_id``; only texts
     that contain the quote have their offsets mapped back.
     """
-    haystacks = docs.selectExpr("doc_id", "text", f"{normalize('text')} as _hay")
-    needles = quotes.selectExpr("quote_id", "doc_id", "quote", f"{normalize('quote')} as _needle")
-    found = (
-        needles.where("_needle != ''").join(haystacks, "doc_id")
-        .selectExpr("*", "instr(_hay, _needle) - 1 as _at").where("_at >= 0")
+    def place(at: str) -> str:
+        span = source_span("text", at, f"({at} + char_length(_needle))")
+        return f"if(_needle != '' AND {at} >= 0, array({span}), {S.empty(SPAN)})"
+
+    found = _side_by_side(quotes, docs).selectExpr(
+        "quote_id", "doc_id", "text", f"{S.let('instr(_hay, _needle) - 1', place)} as _spans"
     )
-    span = source_span("text", "_at", "(_at + char_length(_needle))")
-    return found.selectExpr("quote_id", "doc_id", "text", f"{span} as s").selectExpr(
-        "quote_id", "doc_id", "s.char_start", "s.char_end",
-        "substring(text, s.char_start + 1, s.char_end - s.char_start) as matched", "1D as score",
+    return table_of(found, "_spans", "quote_id", "doc_id", "text").selectExpr(
+        "quote_id", "doc_id", "char_start", "char_end",
+        "substring(text, char_start + 1, char_end - char_start) as matched", "1D as score",
     )
 
 
+def _side_by_side(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Quotes next to their source, both normalised before the join.
+
+    No filter mentions the normalised columns: Catalyst would carry the whole
+    normalisation through its constraints.
+    """
+    needles = quotes.selectExpr("quote_id", "doc_id", f"{normalize('quote')} as _needle")
+    return needles.join(docs.selectExpr("doc_id", "text", f"{normalize('text')} as _hay"), "doc_id")
+
+
 @F.pandas_udf(
     T.StructType().add("score", T.DoubleType()).add("lo", T.IntegerType()).add("hi", T.IntegerType())
 )
@@ -103,6 +117,11 @@ def _similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.D
         yield pd.DataFrame(rows, columns=["score", "lo", "hi"])
 
 
+#: Declared nondeterministic so that the filter on its score is not pushed below
+#: the projection, where every window would be compared a second time.
+_similarity = _similarity.asNondeterministic()
+
+
 def candidate_windows(quote: str, hay: str) -> str:
     """Window starts to compare: around the quote's rarest words in the source.
 
@@ -143,14 +162,15 @@ def anchor_fuzzy(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     Arrow batches. The best window is kept by an aggregate, so no group is
     ever collected.
     """
-    haystacks = docs.selectExpr("doc_id", "text", f"{normalize('text')} as _hay")
-    needles = quotes.selectExpr("quote_id", "doc_id", f"{normalize('quote')} as _needle")
     width = f"greatest(char_length(_needle), cast(char_length(_needle) * {WINDOW_SLACK}D as int))"
+    windows = (
+        f"if(instr(_hay, _needle) > 0, {S.empty('int')}, {candidate_windows('_needle', '_hay')})"
+    )
+    placed = _side_by_side(quotes, docs).selectExpr(
+        "quote_id", "doc_id", "_needle", "_hay", f"posexplode_outer({windows}) as (_k, _start)"
+    )
     scored = (
-        needles.where("_needle != ''").join(haystacks, "doc_id")
-        .where("instr(_hay, _needle) = 0")
-        .selectExpr("quote_id", "doc_id", "_needle", "_hay",
-                    f"posexplode({candidate_windows('_needle', '_hay')}) as (_k, _start)")
+        placed.where("_k IS NOT NULL")
         .selectExpr("quote_id", "doc_id", "_k", "_start", "_needle",
                     f"substring(_hay, _start + 1, {width}) as _window")
         .withColumn("s", _similarity("_needle", "_window"))

@@ -128,7 +128,7 @@ _GOLD_DATE = S.when(
 
 
 def _labelled(spark, sf):
-    docs = notices(spark, sf)
+    docs = notices(spark, sf).drop("issued")
     return analyse(docs, TODAY).selectExpr("*", f"{_GOLD_DATE} as gold_dates")
 
 
