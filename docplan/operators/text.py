@@ -93,7 +93,7 @@ def _character_tables() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 _FROM, _TO, _EXPANDING = _character_tables()
-RAW_TOKEN = rf"(?U)(?:[^{_SPACE}]|(?<=\p{{L}})(?<=[-‐‑])[{_SPACE}]*[\r\n]\s*(?=\p{{L}}))+"
+RAW_TOKEN = rf"(?U)(?:[^{_SPACE}]|(?<=\p{{L}}[-‐‑])\s*[\r\n]\s*(?=\p{{L}}))+"
 _SOFT_HYPHEN = r"(?U)(?<=\p{L})[-‐‑](?=\s*[\r\n]\s*\p{L})"
 
 

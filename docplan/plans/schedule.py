@@ -51,10 +51,12 @@ def graph_of(actions: str) -> str:
     ))
 
 
-def topological_order(nodes: str) -> str:
+def topological_order(nodes: str, complete: bool = False) -> str:
     """Prerequisites first; ties by deadline (undated last), longer effort, id.
 
     Nodes on a cycle are left out, so a short result tells a cyclic graph.
+    With ``complete``, should nothing be ready, the node with the earliest
+    deadline and then the smallest id goes next, so that no step is lost.
     """
 
     def step(acc: str, _: str) -> str:
@@ -68,7 +70,13 @@ def topological_order(nodes: str) -> str:
             moved = S.struct(left=rest, done=f"concat({acc}.done, array({chosen}.id))")
             return f"if({chosen} IS NULL, {acc}, {moved})"
 
-        return S.let(f"array_min({ready})", take)
+        if not complete:
+            return S.let(f"array_min({ready})", take)
+        waiting = S.transform(
+            f"{acc}.left",
+            lambda r: f"struct({r}.key.undated, {r}.key.deadline, {r}.key.id, {r}.key as key)",
+        )
+        return S.let(f"coalesce(array_min({ready}), array_min({waiting}).key)", take)
 
     def whole(xs: str) -> str:
         keyed = S.transform(
@@ -253,7 +261,7 @@ def with_graph(docs: DataFrame, actions: str = "actions") -> DataFrame:
         )
         .selectExpr(
             "*",
-            f"if(size(broken_edges) > 0, {topological_order('_nodes')}, _first_order) as _order",
+            f"if(size(broken_edges) > 0, {topological_order('_nodes', complete=True)}, _first_order) as _order",
         )
         .selectExpr(
             *docs.columns, "broken_edges", "_graph.dangling as dangling_edges",
