@@ -541,6 +541,10 @@ def _insert_findings() -> None:
     from docplan.queries.extraction import _FINDINGS
     from docplan.queries.registry import ORACLES
 
+    #: Every step pairs with itself: the reissue only moves dates and adds papers.
+    place = f"CAST({_ORD} - CASE WHEN tpl = 6 THEN 0 ELSE 1 END AS INT)"
+    ORACLES["pair_findings"] = with_expected(
+        f"SELECT doc_id, {place} AS l, {place} AS r FROM ({_STEP_ROWS})")
     ORACLES["enquiry_drafts"] = ORACLES["enquiry_drafts"].replace("(FINDINGS)", f"({_FINDINGS})")
 
 
