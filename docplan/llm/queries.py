@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docplan.llm import host_rules, sharding
+from docplan.llm import host_rules, quality, sharding, toxicity
 from docplan.llm.common import table
 from docplan.llm.registry import register
 
@@ -16,3 +16,13 @@ def op7_feistel_shards(spark, sf_dir):
 def op10_host_rules(spark, sf_dir):
     return host_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
+
+
+@register("op2_additive_quality")
+def op2_additive_quality(spark, sf_dir):
+    return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op8_subsequence_toxicity")
+def op8_subsequence_toxicity(spark, sf_dir):
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
