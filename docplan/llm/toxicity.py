@@ -35,7 +35,7 @@ from docplan.llm import vec
 from docplan.llm.common import keep_where, part_of, settled
 
 #: Bounds of the fit sample, of the strings it teaches with, and of the landmarks.
-SAMPLE_EACH, TAUGHT_POSITIVE, TAUGHT_NEGATIVE, TELLING, LANDMARKS = 4_000, 400, 4_000, 400, 96
+SAMPLE_EACH, TAUGHT_POSITIVE, TAUGHT_NEGATIVE, TELLING, LANDMARKS = 4_000, 400, 4_000, 4_000, 96
 SPAN, DECAY, WIDTH = 5, 0.6, 30
 #: Lengths of the runs of symbols whose counts tell toxic strings.
 GRAMS = (4, 5, 6, 7, 8)
@@ -342,15 +342,15 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, left_out: int =
     n1, n0 = int((one_each["label"] == 1).sum()), int((one_each["label"] == 0).sum())
     runs = settled(_gram_counts(sample))
     often = runs.where("toxic + clean > 1").count()
-    need = max(2, int(np.ceil(np.log(20 * max(often, 1)) / -np.log(n1 / (n1 + n0)))))
-    telling = runs.where(f"toxic >= {need} and clean <= 0.03 * toxic").orderBy(F.desc("toxic"), "gram").limit(TELLING).select("gram")
+    need = max(2, int(np.ceil(np.log(max(often, 2)) / -np.log(n1 / (n1 + n0)))))
+    telling = runs.where(f"toxic - 4 * clean >= {need} and clean <= 0.1 * toxic").orderBy(F.desc("toxic"), "gram").limit(TELLING).select("gram")
     strings_of = _taught(sample, np.array([r["gram"] for r in telling.collect()], np.int64)).persist()
     try:
-        positive = [bytes(r["string"]) for r in strings_of.where("holds and toxic > 0 and clean <= 0.03 * toxic").orderBy(
+        positive = [bytes(r["string"]) for r in strings_of.where("holds and toxic > 0 and clean <= 0.1 * toxic").orderBy(
             F.desc("toxic"), "string").limit(TAUGHT_POSITIVE).collect()]
         if not positive:
             positive = [bytes(r["string"]) for r in strings_of.where("toxic > 1 and clean = 0").orderBy(F.desc("toxic"), "string").limit(20).collect()]
-        clean = strings_of.where("clean > 0 and clean > 0.03 * toxic")
+        clean = strings_of.where("clean > 0 and clean > 0.1 * toxic")
         negative = [bytes(r["string"]) for r in clean.orderBy(F.xxhash64("string"), "string").limit(TAUGHT_NEGATIVE // 2).collect()]
         if not positive or not negative:
             return nothing
