@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docplan.llm import host_rules, quality, sharding, toxicity
+from docplan.llm import host_rules, packing, quality, sharding, toxicity
 from docplan.llm.common import table
 from docplan.llm.registry import register
 
@@ -26,3 +26,8 @@ def op2_additive_quality(spark, sf_dir):
 @register("op8_subsequence_toxicity")
 def op8_subsequence_toxicity(spark, sf_dir):
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op9_best_fit_packing")
+def op9_best_fit_packing(spark, sf_dir):
+    return packing.packed_documents(table(spark, sf_dir, "documents"))
