@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docplan.llm import host_rules, packing, quality, sharding, toxicity
+from docplan.llm import decontamination, host_rules, packing, quality, sharding, toxicity
 from docplan.llm.common import table
 from docplan.llm.registry import register
 
@@ -31,3 +31,8 @@ def op8_subsequence_toxicity(spark, sf_dir):
 @register("op9_best_fit_packing")
 def op9_best_fit_packing(spark, sf_dir):
     return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op1_simhash_decontamination")
+def op1_simhash_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
