@@ -166,8 +166,8 @@ def _cut(piece: vec.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         data[whole] = piece.data[whole]
     edge = np.zeros(len(data) + 1, bool)
     edge[piece.bounds] = True
-    before = np.concatenate([[0], kind[:-1]]) if len(kind) else kind
-    after = np.concatenate([kind[1:], [0]]) if len(kind) else kind
+    before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]]) if len(kind) else kind
+    after = np.concatenate([kind[1:], np.zeros(1, np.uint8)]) if len(kind) else kind
     start = np.flatnonzero((kind > 0) & ((kind != before) | edge[:-1]))
     end = np.flatnonzero((kind > 0) & ((kind != after) | edge[1:])) + 1
     row = np.searchsorted(piece.bounds, start, "right") - 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docplan.llm import decontamination, host_rules, packing, quality, sharding, toxicity
+from docplan.llm import decontamination, host_rules, near_copies, packing, quality, sharding, toxicity
 from docplan.llm.common import table
 from docplan.llm.registry import register
 
@@ -36,3 +36,8 @@ def op9_best_fit_packing(spark, sf_dir):
 @register("op1_simhash_decontamination")
 def op1_simhash_decontamination(spark, sf_dir):
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op4_order_minhash_copies")
+def op4_order_minhash_copies(spark, sf_dir):
+    return near_copies.deduplicated(table(spark, sf_dir, "documents"))

@@ -89,7 +89,7 @@ def strings(piece: vec.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def distinct(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each distinct string, an example of it, and the number of each string among them."""
-    power = np.cumprod(np.concatenate([[1], np.full(WIDTH, 0x9E3779B97F4A7C15, np.uint64)]).astype(np.uint64))
+    power = vec.powers(0x9E3779B97F4A7C15, WIDTH + 1)
     size = end - start
     key = np.zeros(len(start), np.uint64)
     for k in range(int(size.max()) if len(size) else 0):

@@ -27,15 +27,15 @@ LOWER[65:91] += 32
 
 
 
-def _powers(base: int, count: int) -> np.ndarray:
+def powers(base: int, count: int) -> np.ndarray:
     out = np.full(count, base, np.uint64)
     out[0] = 1
     return np.cumprod(out)
 
 
 _ODD = 0x9E3779B97F4A7C15
-_POW, _BACK = _powers(_ODD, 1 << 16), _powers(pow(_ODD, -1, 1 << 64), 1 << 16)
-_HIGH, _HIGH_BACK = _powers(pow(_ODD, 1 << 16, 1 << 64), 1 << 16), _powers(pow(_ODD, -(1 << 16), 1 << 64), 1 << 16)
+_POW, _BACK = powers(_ODD, 1 << 16), powers(pow(_ODD, -1, 1 << 64), 1 << 16)
+_HIGH, _HIGH_BACK = powers(pow(_ODD, 1 << 16, 1 << 64), 1 << 16), powers(pow(_ODD, -(1 << 16), 1 << 64), 1 << 16)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
