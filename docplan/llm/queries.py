@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docplan.llm import decontamination, host_rules, near_copies, packing, quality, sharding, toxicity
+from docplan.llm import decontamination, host_rules, near_copies, packing, quality, sharding, suffix_tree, toxicity
 from docplan.llm.common import table
 from docplan.llm.registry import register
 
@@ -41,3 +41,8 @@ def op1_simhash_decontamination(spark, sf_dir):
 @register("op4_order_minhash_copies")
 def op4_order_minhash_copies(spark, sf_dir):
     return near_copies.deduplicated(table(spark, sf_dir, "documents"))
+
+
+@register("op5_suffix_tree_scores")
+def op5_suffix_tree_scores(spark, sf_dir):
+    return suffix_tree.scores(table(spark, sf_dir, "documents"))
