@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docplan.llm import decontamination, host_rules, near_copies, packing, quality, sharding, suffix_tree, toxicity
+from docplan.llm import decontamination, host_rules, licenses, near_copies, packing, quality, sharding, suffix_tree, toxicity
 from docplan.llm.common import table
 from docplan.llm.registry import register
 
@@ -46,3 +46,8 @@ def op4_order_minhash_copies(spark, sf_dir):
 @register("op5_suffix_tree_scores")
 def op5_suffix_tree_scores(spark, sf_dir):
     return suffix_tree.scores(table(spark, sf_dir, "documents"))
+
+
+@register("op3_license_dice", licenses.oracle())
+def op3_license_dice(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
