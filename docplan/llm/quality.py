@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docplan.llm import host_rules, vec
-from docplan.llm.common import part_of, settled
+from docplan.llm.common import keep_where, part_of, settled
 
 #: Bound of the fit sample; everything else covers all rows.
 SAMPLE_ROWS = 20_000
@@ -246,3 +246,16 @@ def rate(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFram
     return scored(told, ["doc_id"], train(told, labels)).select(
         "doc_id", (part_of("doc_id", 4) == 2).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_junk(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows, all columns, whose score reaches the threshold."""
+    sample = training_labels(labels, 4, 2, "quality", SAMPLE_ROWS).select("doc_id")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id", "left_semi")
+    model = train(described(own, ["doc_id"]), labels)
+
+    def decide(batch: pa.RecordBatch) -> np.ndarray:
+        parts = [model.score(features(p)) for p in vec.pieces(batch, "text")]
+        return np.concatenate(parts) >= threshold if parts else np.zeros(0, bool)
+
+    return keep_where(docs, decide)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docplan.llm import decontamination, host_rules, licenses, near_copies, packing, quality, sharding, suffix_tree, toxicity
+from docplan.llm import decontamination, host_rules, licenses, near_copies, packing, quality, quotations, sharding, suffix_tree, toxicity
 from docplan.llm.common import table
 from docplan.llm.registry import register
 
@@ -51,3 +51,29 @@ def op5_suffix_tree_scores(spark, sf_dir):
 @register("op3_license_dice", licenses.oracle())
 def op3_license_dice(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+# each turn's parent is the earliest turn of the conversation with the words of the turn before
+_OP6_SQL = r"""
+with recursive norm as (
+  select conv_id, turn, text, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) as words from conversations),
+firsts as (select conv_id, words, min(turn) as origin from norm where words <> '' group by all),
+linked as (
+  select n.conv_id, n.turn, n.text, f.origin as parent
+  from (select *, lag(words) over (partition by conv_id order by turn) as before from norm) n
+  left join firsts f on f.conv_id = n.conv_id and f.words = n.before and f.origin < n.turn),
+walk as (
+  select conv_id, turn, turn as conversation, 0 as depth from linked where parent is null
+  union all
+  select l.conv_id, l.turn, w.conversation, w.depth + 1 from linked l join walk w on w.conv_id = l.conv_id and w.turn = l.parent)
+select l.conv_id, l.turn, l.parent, w.conversation, w.depth, trim(l.text, chr(10)) as own_text
+from linked l join walk w on w.conv_id = l.conv_id and w.turn = l.turn
+"""
+
+
+@register("op6_quotation_threads", _OP6_SQL)
+def op6_quotation_threads(spark, sf_dir):
+    mail = quotations.as_mail(table(spark, sf_dir, "conversations"))
+    return quotations.linked(mail, scope_col="conv_id").selectExpr(
+        "cast(scope as bigint) as conv_id", "message % 65536 as turn", "parent % 65536 as parent",
+        "conversation % 65536 as conversation", "cast(depth as int) as depth", "own_text")
