@@ -97,7 +97,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     words = segments.where(F.length("segment") >= 2 * fewest + 1).select(
         "place", "doc_id", F.expr(f"filter(split(lower(segment), r'{NOT_WORD}'), w -> w != '')").alias("words")).where(f"size(words) - 1 >= {fewest}")
     cut = words.select("place", "doc_id", F.xxhash64("words").alias("segment"), F.expr(
-        "array_distinct(zip_with(slice(words, 1, size(words) - 1), slice(words, 2, size(words) - 1), (a, b) -> concat(a, ' ', b)))"
+        "array_distinct(zip_with(slice(words, 1, greatest(size(words) - 1, 0)), slice(words, 2, greatest(size(words) - 1, 0)), (a, b) -> concat(a, ' ', b)))"
     ).alias("bigrams")).where(f"size(bigrams) between {fewest} and {most}")
     met = cut.select("place", "doc_id", "segment", F.size("bigrams").alias("n_bigrams"), F.explode(F.array_distinct("bigrams")).alias("bigram")).join(
         F.broadcast(table), "bigram").where("n_bigrams between least and greatest")
