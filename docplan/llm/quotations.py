@@ -98,17 +98,19 @@ def linked(messages: DataFrame, id_col: str = "message", sent_col: str = "sent",
         "message", F.col("best.message").alias("parent"))
     placed = settled(told.drop("passages").join(parents, "message", "left").select(
         "*", F.coalesce("parent", "message").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")))
-    ways = placed.select("message", "up", "depth")
-    while True:  # doubling: each round a message's link goes twice as far up
-        above = ways.select(F.col("message").alias("up"), F.col("up").alias("next"), F.col("depth").alias("further"))
-        moved = settled(ways.join(above, "up", "left").select(
-            "message", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"),
-            F.coalesce(F.col("next") != F.col("up"), F.lit(False)).alias("moved")))
-        ways = moved.select("message", "up", "depth")
-        if not moved.where("moved").limit(1).count():
+    # doubling: each round the links of messages that have not met a finished one go twice as far up
+    done, climbing = placed.where("parent is null").select("message", "up", "depth"), placed.where("parent is not null").select("message", "up", "depth")
+    over = lambda rows: rows.toDF("up", "next", "further")
+    step = ("message", F.col("next").alias("up"), (F.col("depth") + F.col("further")).alias("depth"))
+    while True:
+        finished = settled(climbing.join(over(done), "up").select(*step))
+        climbing = settled(climbing.join(over(climbing), "up").select(*step))
+        done = done.unionByName(finished)
+        if not climbing.limit(1).count():
             break
-    return placed.drop("up", "depth").join(ways, placed["message"].eqNullSafe(ways["message"])).select(
-        placed["message"], "scope", "sent", "own_text", "parent", F.col("up").alias("conversation"), "depth")
+    ways = done.toDF("own", "conversation", "far")
+    return placed.join(ways, placed["message"].eqNullSafe(ways["own"])).select(
+        "message", "scope", "sent", "own_text", "parent", "conversation", F.col("far").alias("depth"))
 
 
 def in_reply_order(found: DataFrame) -> DataFrame:
