@@ -14,7 +14,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from itertools import count
 
-OPEN, CLOSE = "\u0001", "\u0002"
+#: Marks around matches: two code points that Unicode keeps out of all texts. They stand in no text
+#: that is valid for interchange, so what they enclose is the source unchanged.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
 SPAN_TYPE = "struct<char_start:int,char_end:int,text:string>"
 _names = count(1)
 
@@ -135,7 +137,7 @@ def running_starts(lengths: str) -> str:
 
 
 def mark(text: str, pattern: str) -> str:
-    """Wrap every match of ``pattern`` in control characters."""
+    """Wrap every match of ``pattern`` in the two marks."""
     clean = f"translate({text}, {lit(OPEN + CLOSE)}, {lit('��')})"
     return f"regexp_replace({clean}, {lit(pattern)}, {lit(OPEN + '$0' + CLOSE)})"
 

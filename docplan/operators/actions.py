@@ -11,7 +11,7 @@ from docplan.functions.rows import Findings
 from docplan.operators.requirements import add_requirements, group_phrases
 from docplan.operators.text import sentences
 
-_FORMS = L.verb_forms()
+_FORMS = L.VERB_FORMS
 
 
 def verb_lexicon(spark: SparkSession) -> DataFrame:
@@ -47,8 +47,8 @@ def obligation_score(sentence: str) -> str:
     )
 
 
-def _truncate(text: str) -> str:
-    limit = L.MAX_DESCRIPTION_CHARS
+def shortened(text: str, limit: int) -> str:
+    """A description cut to ``limit`` characters for display, at a word if one ends in its second half."""
 
     def clip(head: str) -> str:
         boundary = f"(char_length({head}) - instr(reverse({head}), ' '))"
@@ -64,8 +64,8 @@ def _truncate(text: str) -> str:
 def _tidy(text: str, fallback: str) -> str:
     def finish(cleaned: str) -> str:
         worded = S.replace(cleaned, L.THIRD_PERSON, "your")
-        final = S.let(worded, lambda w: S.let(_truncate(w), S.upper_first))
-        return f"if({cleaned} = '', left({fallback}, {L.MAX_DESCRIPTION_CHARS}), {final})"
+        final = S.let(worded, S.upper_first)
+        return f"if({cleaned} = '', {fallback}, {final})"
 
     return S.let(S.rstrip(S.flat(text), ".;:, "), finish)
 
@@ -123,14 +123,15 @@ _COORDINATED_NOTE = (
 )
 
 
-def governed_verbs(docs: DataFrame, column: str) -> Findings:
-    """Instructing sentences with the verb their obligation governs.
+def governed_verbs(docs: DataFrame, column: str, min_sentence_chars: int | None = None) -> Findings:
+    """Instructing sentences with the verb their obligation governs; with a minimum, long enough ones.
 
     The search for the verb starts after the obligation wording and skips a
     spelling used as a noun (after a determiner or a hyphenated prefix).
     """
     found = Findings(docs, column, sentences("text"), "char_start char_end text")
-    found.keep(lambda s: f"char_length({s}.text) >= {L.MIN_SENTENCE_CHARS}")
+    if min_sentence_chars:
+        found.keep(lambda s: f"char_length({s}.text) >= {min_sentence_chars}")
     found.add(tier=lambda s: obligation_tier(f"{s}.text"))
     found.keep(lambda s: f"{s}.tier > 0 OR {S.has(f'{s}.text', L.IMPERATIVE)}")
     found.add(
@@ -171,7 +172,7 @@ def _described(s: str) -> str:
     def describe(c: str) -> str:
         wording = f"concat({base_of(f'{c}.form')}, ' ', {c}.rest)"
         return S.struct(
-            description=S.let(wording, lambda p: S.let(_truncate(p), S.upper_first)),
+            description=S.let(wording, S.upper_first),
             verb=bucket_of(f"{c}.form"),
             verb_end=f"{c}.verb_end",
         )

@@ -28,12 +28,20 @@ def _type_scores(head: str, heading: str) -> str:
     return f"array_sort({S.array(entries)})"
 
 
-def with_type(docs: DataFrame, column: str = "document_type") -> DataFrame:
-    """Adds ``{type, confidence, rationale, char_start, char_end}``."""
-    scored = docs.selectExpr("*", f"left(text, {L.HEAD_CHARS}) as _head").selectExpr(
+def with_type(
+    docs: DataFrame, column: str = "document_type", head_chars: int | None = None,
+    heading_chars: int | None = None,
+) -> DataFrame:
+    """Adds ``{type, confidence, rationale, char_start, char_end}``.
+
+    The whole text and its whole first line count unless the caller limits them.
+    """
+    head = f"left(text, {head_chars})" if head_chars else "text"
+    first_line = r"split(_head, '\n', 2)[0]"
+    scored = docs.selectExpr("*", f"{head} as _head").selectExpr(
         "*",
         S.let(
-            f"left(split(_head, '\\n', 2)[0], {L.HEADING_CHARS})",
+            f"left({first_line}, {heading_chars})" if heading_chars else first_line,
             lambda heading: _type_scores("_head", heading),
         )
         + " as _ranked",

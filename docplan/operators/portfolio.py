@@ -10,19 +10,26 @@ from docplan.functions import lexicon as L
 from docplan.functions import spans as S
 from docplan.functions.rows import table_of
 
-MIN_DOCUMENTS, MAX_DOCUMENTS = 2, 12
+MIN_DOCUMENTS = 2
 COMPARABLE = ("year", "score", "cgpa", "age", "category")
 POSITION_TYPE = "struct<doc_id:string,name:string,value:string>"
 
 
-def valid_portfolios(members: DataFrame) -> DataFrame:
-    """Members of portfolios of 2 to 12 distinct documents; the rest are refused.
+def portfolio_sizes(members: DataFrame, max_documents: int | None = None) -> DataFrame:
+    """portfolio_id, n_documents and the reason of its refusal, if it is refused."""
+    sizes = members.groupBy("portfolio_id").agg(F.count_distinct("doc_id").alias("n_documents"))
+    too_many = f"WHEN n_documents > {max_documents} THEN 'too many documents'" if max_documents else ""
+    return sizes.selectExpr(
+        "*", f"CASE WHEN n_documents < {MIN_DOCUMENTS} THEN 'too few documents' {too_many} END as refusal")
 
-    Sizes come from partial aggregates, so an oversized portfolio is turned
-    away without its documents ever meeting in one task.
+
+def valid_portfolios(members: DataFrame, max_documents: int | None = None) -> DataFrame:
+    """Members of portfolios of two or more distinct documents, of any number unless limited.
+
+    Sizes come from partial aggregates, so a refused portfolio is turned away
+    without its documents ever meeting in one task; ``portfolio_sizes`` lists why.
     """
-    sizes = members.groupBy("portfolio_id").agg(F.count_distinct("doc_id").alias("n"))
-    accepted = sizes.where(f"n BETWEEN {MIN_DOCUMENTS} AND {MAX_DOCUMENTS}").select("portfolio_id")
+    accepted = portfolio_sizes(members, max_documents).where("refusal IS NULL").select("portfolio_id")
     return members.join(accepted, "portfolio_id", "left_semi")
 
 
@@ -60,7 +67,7 @@ def portfolio_rows(members: DataFrame, analysed: DataFrame) -> DataFrame:
 
 
 def _pairs(docs: str, build) -> str:
-    """``build(left, right)`` over the at most 66 document pairs of a portfolio."""
+    """``build(left, right)`` over the document pairs of a portfolio."""
     rest = S.lam(
         lambda l, i: S.transform(f"slice({docs}, {i} + 2, size({docs}))", lambda r: build(l, r)), 2
     )
@@ -153,8 +160,12 @@ def undated_steps(steps: DataFrame) -> DataFrame:
     return steps.where("latest_start IS NULL").withColumn("pos", F.row_number().over(order))
 
 
-def portfolio_summary(steps: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Consistency, the next date to finish by, the next date a document states."""
+def portfolio_summary(members: DataFrame, steps: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Consistency, the next date to finish by, the next date a document states, of each valid portfolio.
+
+    A portfolio without steps or conflicts has no dates and is consistent.
+    """
+    valid = portfolio_sizes(members).where("refusal IS NULL").select("portfolio_id")
     dated = steps.groupBy("portfolio_id").agg(
         F.expr("min(effective_deadline) FILTER (WHERE latest_start IS NOT NULL)").alias("next_due"),
         F.expr("min(deadline) FILTER (WHERE latest_start IS NOT NULL)").alias(
@@ -162,7 +173,7 @@ def portfolio_summary(steps: DataFrame, conflicts: DataFrame) -> DataFrame:
         ),
     )
     disputed = conflicts.select("portfolio_id").distinct().withColumn("disputed", F.lit(True))
-    return dated.join(disputed, "portfolio_id", "left").selectExpr(
+    return valid.join(dated, "portfolio_id", "left").join(disputed, "portfolio_id", "left").selectExpr(
         "portfolio_id", "next_due", "next_stated_deadline",
         "NOT coalesce(disputed, false) as is_consistent",
     )

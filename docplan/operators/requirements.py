@@ -73,8 +73,7 @@ def series_requirements(tail: str) -> str:
         lambda p: f"lower({p})",
     )
     usable = S.let(
-        listed, lambda xs: f"if(size({xs}) >= 2, slice({xs}, 1, {L.MAX_REQUIREMENTS}), "
-        f"{S.empty('string')})"
+        listed, lambda xs: f"if(size({xs}) >= 2, {xs}, {S.empty('string')})"
     )
     return S.when(
         (f"contains({tail}, ',') AND {S.has(tail, L.SERIES_CONJUNCTION)}", usable),
@@ -82,8 +81,12 @@ def series_requirements(tail: str) -> str:
     )
 
 
-def add_requirements(items: Findings) -> Findings:
-    """Adds ``requires`` to findings that have ``wording``, ``verb_end`` and ``verb``.
+def at_most(items: str, limit: int | None) -> str:
+    return f"slice({items}, 1, {limit})" if limit else items
+
+
+def add_requirements(items: Findings, max_requirements: int | None = None) -> Findings:
+    """Adds ``requires`` to findings that have ``wording``, ``verb_end`` and ``verb``; all of them unless limited.
 
     An explicit cue replaces a series: both would list the same things.
     """
@@ -96,9 +99,8 @@ def add_requirements(items: Findings) -> Findings:
         target=lambda x: direct_object(f"{x}.tail", f"{x}.verb"),
     )
     return items.add(
-        requires=lambda x: "slice("
-        + S.first_per_key(f"concat({x}.target, {x}.listed)", lambda p: f"lower({p})")
-        + f", 1, {L.MAX_REQUIREMENTS})"
+        requires=lambda x: at_most(
+            S.first_per_key(f"concat({x}.target, {x}.listed)", lambda p: f"lower({p})"), max_requirements)
     )
 
 

@@ -273,9 +273,9 @@ def temporal_expressions(text: str, reference: str) -> str:
     )
 
 
-def issue_date(text: str, fallback: str) -> str:
-    """The date the document gives itself near its top, or ``fallback``."""
-    opening = f"left({text}, {L.ISSUE_DATE_CHARS})"
+def issue_date(text: str, fallback: str, head_chars: int | None = None) -> str:
+    """The first date the document gives itself (in its first ``head_chars``, if limited), or ``fallback``."""
+    opening = f"left({text}, {head_chars})" if head_chars else text
 
     def read(part: str) -> str:
         found = ", ".join([

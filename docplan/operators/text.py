@@ -134,12 +134,11 @@ def normalize_text(docs: DataFrame) -> DataFrame:
 
 # --- titles and excerpts ----------------------------------------------------
 
-TITLE_CHARS = 600
 
 
-def title_claim_column(text: str) -> str:
-    """The first substantial line near the top, as an inference."""
-    lines = S.find_all(f"left({text}, {TITLE_CHARS})", r"(?dm)^[^\n]{6,120}$")
+def title_claim_column(text: str, head_chars: int | None = None) -> str:
+    """The first substantial line (of the first ``head_chars``, if limited), as an inference."""
+    lines = S.find_all(f"left({text}, {head_chars})" if head_chars else text, r"(?dm)^[^\n]{6,120}$")
     usable = S.keep(
         lines,
         lambda m: f"char_length({S.strip(f'{m}.text')}) >= 6 "

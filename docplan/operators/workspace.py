@@ -64,39 +64,52 @@ def erase(workspace: DataFrame, requests: DataFrame) -> DataFrame:
 
 def erased_counts(workspace: DataFrame, requests: DataFrame) -> DataFrame:
     """How many documents each owner loses."""
-    before = workspace.groupBy("owner_id").agg(F.count("*").alias("before"))
-    after = erase(workspace, requests).groupBy("owner_id").agg(F.count("*").alias("after"))
-    return before.join(after, "owner_id", "left").selectExpr(
-        "owner_id", "before - coalesce(after, 0) as removed"
-    ).where("removed > 0")
+    single = requests.where("doc_id IS NOT NULL").select("owner_id", "doc_id").distinct()
+    whole = requests.where("doc_id IS NULL").select("owner_id").distinct()
+    gone = workspace.join(single.withColumn("one", F.lit(True)), ["owner_id", "doc_id"], "left").join(
+        whole.withColumn("every", F.lit(True)), "owner_id", "left"
+    ).where("one OR every")
+    return gone.groupBy("owner_id").agg(F.count("*").alias("removed"))
 
 
 def apply_patches(workspace: DataFrame, patches: DataFrame, plans: DataFrame) -> DataFrame:
     """Patched state with a status per document.
 
-    ``patches``: owner_id, doc_id, completed (null leaves it), profile (null
-    leaves it), clear_profile. ``plans``: doc_id, action_ids. Unknown action
-    ids reject the whole patch.
+    ``patches``: owner_id, doc_id, arrival, completed (null leaves it), profile
+    (null leaves it), clear_profile. ``plans``: doc_id, action_ids. Each patch
+    is judged by itself: unknown action ids reject the whole patch. The valid
+    ones take effect in the order of their arrival, field by field, in one
+    aggregate. A document its owner does not have yields a ``not_found`` row.
+    ``unknown`` are the ids of the last rejected patch.
     """
-    asked = patches.withColumnRenamed("completed", "new_completed").withColumnRenamed(
-        "profile", "new_profile"
-    ).withColumn("_patched", F.lit(True))
-    joined = workspace.join(asked, ["owner_id", "doc_id"], "left").join(plans, "doc_id", "left")
-    checked = joined.withColumn(
+    judged = patches.join(plans, "doc_id", "left").withColumn(
         "unknown",
         F.expr(
-            "array_sort(array_except(coalesce(new_completed, cast(array() as array<string>)), "
+            "array_sort(array_except(coalesce(completed, cast(array() as array<string>)), "
             "coalesce(action_ids, cast(array() as array<string>))))"
         ),
     )
-    return checked.selectExpr(
+    valid = "size(unknown) = 0"
+    last = judged.groupBy("owner_id", "doc_id").agg(
+        F.expr(f"count_if({valid})").alias("applied"),
+        F.expr("max_by(unknown, arrival) FILTER (WHERE size(unknown) > 0)").alias("refused"),
+        F.expr(
+            f"max_by(completed, arrival) FILTER (WHERE {valid} AND completed IS NOT NULL)"
+        ).alias("new_completed"),
+        F.expr(
+            "max_by(struct(CASE WHEN clear_profile THEN NULL ELSE profile END as value), arrival) "
+            f"FILTER (WHERE {valid} AND (clear_profile OR profile IS NOT NULL))"
+        ).alias("new_profile"),
+    ).withColumn("asked", F.lit(True))
+    known = workspace.select("owner_id", "doc_id", "completed", "profile", F.lit(True).alias("known"))
+    return known.join(last, ["owner_id", "doc_id"], "full_outer").selectExpr(
         "owner_id", "doc_id",
-        "CASE WHEN _patched IS NULL THEN 'unchanged' WHEN size(unknown) > 0 THEN 'rejected' "
-        "ELSE 'patched' END as status",
-        "unknown",
-        "if(size(unknown) = 0, coalesce(new_completed, completed), completed) as completed",
-        "CASE WHEN size(unknown) > 0 THEN profile WHEN clear_profile THEN NULL "
-        "ELSE coalesce(new_profile, profile) END as profile",
+        "CASE WHEN known IS NULL THEN 'not_found' WHEN asked IS NULL THEN 'unchanged' "
+        "WHEN applied > 0 THEN 'patched' ELSE 'rejected' END as status",
+        "coalesce(refused, cast(array() as array<string>)) as unknown",
+        "CASE WHEN known THEN coalesce(new_completed, completed) END as completed",
+        "CASE WHEN known IS NULL THEN NULL WHEN new_profile IS NULL THEN profile "
+        "ELSE new_profile.value END as profile",
     )
 
 

@@ -122,23 +122,23 @@ ACTIONS = (
      "prepare", "0.94", MODAL, "''", _NO, "false", RELATIVE),
     ("tpl = 5", 1, _APPLY, f"rtrim({_APPLY}, '.')", "submit", "0.55", MODAL + OPTIONAL, "''", _NO,
      "true", "CASE WHEN cust % 5 = 0 THEN NULL ELSE due END"),
-    ("tpl = 6", 1, _S["chain"], "concat('Obtain the ', art1)", "obtain", "0.78",
+    ("tpl = 6", 1, _S["chain"], "concat('Collect the ', art1)", "obtain", "0.78",
      DIRECT + OPTIONAL, _cap("art1"), _NO, "true", _NO),
-    ("tpl = 6", 2, _S["chain"], "'Fill the no-dues form'", "prepare", "0.741", COORDINATED,
-     "'No-dues form'", _NO, "true", _NO),
-    ("tpl = 6", 3, _S["chain"], "'Submit it'", "submit", "0.741", COORDINATED, "''", _NO, "true", _NO),
+    ("tpl = 6", 2, _S["chain"], "'Sign the hostel undertaking'", "prepare", "0.741", COORDINATED,
+     "'Hostel undertaking'", _NO, "true", _NO),
+    ("tpl = 6", 3, _S["chain"], "'Deposit it'", "submit", "0.741", COORDINATED, "''", _NO, "true", _NO),
     ("tpl = 6", 4, _S["send"],
      f"concat('Send the ', art1, ' to the registrar before ', {N.long_date('due')})", "submit",
      "CASE WHEN month(due) = 5 THEN 0.55 ELSE 0.78 END", None, _cap("art1"), _NO, "true", "due"),
     ("tpl = 7", 1, _S["attach"],
-     f"concat('Attach the caste certificate by ', {N.long_date('due')})", "prepare", "0.94",
-     MODAL + " Applies only if you belong to a reserved category.", "'Caste certificate'",
-     "'if you belong to a reserved category'", "false", "due"),
-    ("tpl = 7", 2, _S["outside"], "'Submit the domicile certificate'", "submit", "0.94",
-     MODAL + " Applies only for from outside the state.", "'Domicile certificate'",
-     "'for from outside the state'", "false", _NO),
-    ("tpl = 7", 3, _S["sample"], "'Include a writing sample'", "submit", "0.55", MODAL + OPTIONAL,
-     "'Writing sample'", _NO, "true", _NO),
+     f"concat('Attach the fee challan by ', {N.long_date('due')})", "prepare", "0.94",
+     MODAL + " Applies only if you hold a sports quota seat.", "'Fee challan'",
+     "'if you hold a sports quota seat'", "false", "due"),
+    ("tpl = 7", 2, _S["outside"], "'Return the equipment declaration'", "submit", "0.94",
+     MODAL + " Applies only for holding a lab key.", "'Equipment declaration'",
+     "'for holding a lab key'", "false", _NO),
+    ("tpl = 7", 3, _S["sample"], "'Upload a sample portfolio'", "submit", "0.55", MODAL + OPTIONAL,
+     "'Sample portfolio'", _NO, "true", _NO),
     ("tpl = 8", 1, _S["vague"],
      "'Submit the prescribed form to the concerned office before the last date'", "submit", "0.78",
      DIRECT + OPTIONAL, "'Prescribed form'", _NO, "true", _NO),

@@ -61,7 +61,7 @@ def normalize_text(spark, sf):
 
 @register(r"""
 SELECT doc_id, line AS value, CASE WHEN line = upper(line) AND line <> lower(line) THEN 0.8::DOUBLE ELSE 0.62::DOUBLE
-  END AS score FROM (SELECT doc_id, trim(list_filter(string_split(left(text, 600), chr(10)),
+  END AS score FROM (SELECT doc_id, trim(list_filter(string_split(text, chr(10)),
   lambda x: length(x) BETWEEN 6 AND 120 AND length(trim(x)) >= 6
     AND regexp_matches(x, '[A-Za-z]{3}'))[1]) AS line FROM documents) WHERE line IS NOT NULL""")
 def title_claim(spark, sf):
@@ -244,14 +244,16 @@ def deadline_claims(spark, sf):
 
 
 @register(with_expected(f"""
-SELECT doc_id, char_start, CASE WHEN doc_id % 2 = 1 THEN 'UNCERTAIN' ELSE classification END
-  AS classification, CAST(CASE WHEN doc_id % 2 = 1 THEN least(score, 0.35) ELSE score END AS DOUBLE)
-  AS score, CASE WHEN doc_id % 2 = 1 THEN {E._q(T.UNSTATED)} ELSE rationale END AS rationale
-FROM claims WHERE rationale LIKE 'Day,%'"""))
+SELECT doc_id, char_start, CASE WHEN wrong THEN 'UNCERTAIN' ELSE classification END
+  AS classification, CAST(CASE WHEN wrong THEN least(score, 0.35) ELSE score END AS DOUBLE)
+  AS score, CASE WHEN wrong THEN {E._q(T.UNSTATED)} ELSE rationale END AS rationale
+FROM (SELECT *, NOT (regexp_matches(words, concat('\\b0?', day(moved), '\\b')) AND (contains(words,
+    lower(left(strftime(moved, '%B'), 3))) OR regexp_matches(words, concat('\\b0?', month(moved), '\\b')))) AS wrong
+  FROM (SELECT *, lower(evidence) AS words, CAST(value + CAST(doc_id % 2 AS INT) AS DATE) AS moved FROM claims))"""))
 def verify_date_spans(spark, sf):
-    """Date claims whose value was moved by a day in odd documents are demoted."""
-    claims = table_of(_claims(spark, sf), "deadlines", "doc_id").where(
-        "rationale LIKE 'Day,%'")
+    """Date claims whose value was moved by a day in odd documents are demoted, like those whose words spell
+    out no date."""
+    claims = table_of(_claims(spark, sf), "deadlines", "doc_id")
     moved = claims.withColumn("value", F.expr("date_add(value, cast(doc_id % 2 as int))"))
     return K.demote(moved, f"NOT {T.states_date('value', 'evidence')}", T.UNSTATED).select(
         "doc_id", "char_start", "classification", "score", "rationale"
@@ -281,16 +283,16 @@ def deadline_board(spark, sf):
 
 
 @register("""
-SELECT word AS form, count(*) AS uses FROM (SELECT unnest(regexp_extract_all(lower(text),
-  '[a-z]+')) AS word FROM n) WHERE word IN (FORMS) GROUP BY word""".replace(
-    "FORMS", ", ".join(f"'{f}'" for f, _, _ in L.verb_forms())).join(
+SELECT word AS form, bucket, base, count(*) AS uses FROM (SELECT unnest(regexp_extract_all(lower(text),
+  '[a-z]+')) AS word FROM n) JOIN (VALUES FORMS) f(form, bucket, base) ON form = word GROUP BY ALL""".replace(
+    "FORMS", ", ".join(f"('{f}', '{b}', '{w}')" for f, b, w in L.VERB_FORMS)).join(
         [f"WITH n AS ({E.N.notices_sql()}) ", ""]))
 def verb_lexicon(spark, sf):
     """How often each inflected form of the verb lexicon occurs in the notices."""
     words = plain_notices(spark, sf).selectExpr(
         "explode(regexp_extract_all(lower(text), '([a-z]+)', 1)) as form")
     counts = words.groupBy("form").agg(F.count("*").alias("uses"))
-    return counts.join(F.broadcast(A.verb_lexicon(spark)), "form", "left_semi")
+    return counts.join(F.broadcast(A.verb_lexicon(spark)), "form").select("form", "bucket", "base", "uses")
 
 
 @register(with_expected("""

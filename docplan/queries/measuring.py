@@ -20,7 +20,7 @@ from docplan.sources.notices import SENTENCES, TODAY, long_date, notices
 
 
 def _workspace(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").where("event_id % 2 = 0").selectExpr(
+    return spark.read.parquet(f"{sf}/events.parquet").selectExpr(
         "user_id as owner_id", "event_id as doc_id", "concat('file-', event_id) as filename",
         "sha2(cast(event_id as string), 256) as content_hash",
         "cast(array() as array<string>) as completed", "cast(NULL as string) as profile",
@@ -29,19 +29,20 @@ def _workspace(spark, sf):
 
 _WS = """
 ws AS (SELECT user_id AS owner_id, event_id AS doc_id, concat('file-', event_id) AS filename,
-  event_id AS sequence FROM events WHERE event_id % 2 = 0)"""
+  event_id AS sequence FROM events)"""
 
 
 @register("""
 SELECT event_id AS doc_id, user_id AS owner_id, CASE WHEN event_id % 3 = 0 THEN concat('new-', event_id)
-  ELSE concat('file-', event_id) END AS filename, CASE WHEN event_id % 2 = 0 THEN
-  sha256(CAST(event_id AS STRING)) ELSE 'fresh' END AS content_hash, CASE WHEN event_id % 3 = 0 THEN
-  'action-1' ELSE '' END AS completed, CASE WHEN event_id % 2 = 0 THEN event_id ELSE event_id + 100000000
-  END AS sequence FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0""")
+  ELSE concat('file-', event_id) END AS filename, sha256(CAST(event_id AS STRING)) AS content_hash,
+  CASE WHEN event_id % 3 = 0 THEN 'action-1' ELSE '' END AS completed, event_id AS sequence FROM events
+UNION ALL SELECT event_id + 50000000, user_id, concat('new-', event_id), 'fresh', 'action-1',
+  event_id + 100000000 FROM events WHERE event_id % 3 <> 0""")
 def apply_uploads(spark, sf):
-    """Every third event is written (again) later, under a new name."""
-    uploads = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 3 = 0").selectExpr(
-        "user_id as owner_id", "event_id as doc_id", "concat('new-', event_id) as filename",
+    """Every event uploads once more: every third one its own document, the others a new one."""
+    uploads = spark.read.parquet(f"{sf}/events.parquet").selectExpr(
+        "user_id as owner_id", "if(event_id % 3 = 0, event_id, event_id + 50000000) as doc_id",
+        "concat('new-', event_id) as filename",
         "'fresh' as content_hash", "array('action-1') as completed", "'p' as profile",
         "event_id + 100000000 as arrival")
     return Ws.apply_uploads(_workspace(spark, sf), uploads).selectExpr(
@@ -94,19 +95,31 @@ def erased_counts(spark, sf):
 
 
 @register(f"""
-WITH {_WS} SELECT owner_id, doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'unchanged' WHEN doc_id % 4 = 0 THEN
-  'rejected' ELSE 'patched' END AS status, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 THEN 'action-1'
-  ELSE '' END AS completed, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 AND doc_id % 5 <> 0 THEN 'year 2'
-  ELSE '' END AS profile FROM ws""")
+WITH {_WS} SELECT owner_id, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'patched' WHEN doc_id % 3 <> 0 THEN
+  'unchanged' WHEN doc_id % 4 = 1 THEN 'rejected' ELSE 'patched' END AS status,
+  CASE WHEN doc_id % 3 = 0 AND doc_id % 4 = 1 THEN 'action-9' ELSE '' END AS unknown,
+  CASE WHEN doc_id % 2 = 0 THEN 'action-2' WHEN doc_id % 3 = 0 AND doc_id % 4 <> 1 THEN 'action-1'
+  ELSE '' END AS completed, CASE WHEN doc_id % 3 <> 0 OR doc_id % 4 = 1 THEN '' WHEN doc_id % 5 = 0 THEN ''
+  ELSE 'year 2' END AS profile FROM ws
+UNION ALL SELECT owner_id + 1000000, doc_id, 'not_found', '', '', '' FROM ws WHERE doc_id % 7 = 0""")
 def apply_patches(spark, sf):
+    """Every third document has a patch (some name an unknown action), every second a later one that
+    leaves the profile alone, every seventh one of somebody who does not own it."""
     base = _workspace(spark, sf)
     patches = base.where("doc_id % 3 = 0").selectExpr(
-        "owner_id", "doc_id", "if(doc_id % 4 = 0, array('action-9'), array('action-1')) as completed",
-        "'year 2' as profile", "doc_id % 5 = 0 as clear_profile")
+        "owner_id", "doc_id", "1 as arrival",
+        "if(doc_id % 4 = 1, array('action-9'), array('action-1')) as completed",
+        "'year 2' as profile", "doc_id % 5 = 0 as clear_profile"
+    ).unionByName(base.where("doc_id % 2 = 0").selectExpr(
+        "owner_id", "doc_id", "2 as arrival", "array('action-2') as completed",
+        "cast(NULL as string) as profile", "false as clear_profile")
+    ).unionByName(base.where("doc_id % 7 = 0").selectExpr(
+        "owner_id + 1000000 as owner_id", "doc_id", "3 as arrival", "array('action-1') as completed",
+        "'x' as profile", "false as clear_profile"))
     plans = base.selectExpr("doc_id", "array('action-1', 'action-2') as action_ids")
     return Ws.apply_patches(base, patches, plans).selectExpr(
-        "owner_id", "doc_id", "status", "array_join(completed, ',') as completed",
-        "coalesce(profile, '') as profile")
+        "owner_id", "doc_id", "status", "array_join(unknown, ',') as unknown",
+        "coalesce(array_join(completed, ','), '') as completed", "coalesce(profile, '') as profile")
 
 
 @register(f"WITH {_WS} SELECT doc_id FROM ws ORDER BY sequence DESC LIMIT 64")

@@ -487,9 +487,10 @@ def undated_steps(spark, sf):
 
 @register(_pairs_sql(f"""
 SELECT s.portfolio_id, next_due, next_stated_deadline, d.portfolio_id IS NULL AS is_consistent FROM
- (SELECT portfolio_id, min(effective_deadline) FILTER (WHERE latest_start IS NOT NULL) AS next_due,
+ (SELECT p.portfolio_id, next_due, next_stated_deadline FROM (SELECT doc_id // 8 AS portfolio_id FROM n
+   GROUP BY 1 HAVING count(DISTINCT doc_id) > 1) p LEFT JOIN (SELECT portfolio_id, min(effective_deadline) FILTER (WHERE latest_start IS NOT NULL) AS next_due,
    min(deadline) FILTER (WHERE latest_start IS NOT NULL) AS next_stated_deadline
-  FROM ({_STEP_ROWS}) GROUP BY 1) s LEFT JOIN (SELECT DISTINCT portfolio_id FROM ({_DUE_CONFLICT})) d
+  FROM ({_STEP_ROWS}) GROUP BY 1) x ON x.portfolio_id = p.portfolio_id) s LEFT JOIN (SELECT DISTINCT portfolio_id FROM ({_DUE_CONFLICT})) d
  ON d.portfolio_id = s.portfolio_id"""))
 def portfolio_summary(spark, sf):
     analysed = analyse(plain_notices(spark, sf), TODAY)
@@ -497,7 +498,7 @@ def portfolio_summary(spark, sf):
     found = Z.portfolio_rows(members, analysed)
     conflicts = Z.deadline_conflicts(found).select("portfolio_id").unionByName(
         Z.eligibility_conflicts(found).select("portfolio_id"))
-    return Z.portfolio_summary(Z.portfolio_steps(members, analysed), conflicts)
+    return Z.portfolio_summary(members, Z.portfolio_steps(members, analysed), conflicts)
 
 
 # --- outputs ----------------------------------------------------------------

@@ -40,7 +40,7 @@ def _uploads(spark, sf):
     arms = " ".join(f"WHEN {i} THEN unhex('{h}')" for i, (h, _) in enumerate(_HEADERS))
     return _documents(spark, sf).selectExpr(
         "doc_id",
-        f"CASE WHEN doc_id % 12 = 10 THEN concat(unhex('FFFE'), encode(left(text, 50), 'UTF-16LE')) "
+        f"CASE WHEN doc_id % 12 = 10 THEN concat(unhex('FFFE'), encode(text, 'UTF-16LE')) "
         "WHEN doc_id % 12 = 11 THEN encode('caf\\u00e9 and more plain words', 'ISO-8859-1') "
         f"ELSE concat(CASE doc_id % 12 {arms} END, encode(text, 'UTF-8')) END as content")
 
@@ -59,7 +59,7 @@ def triage_uploads(spark, sf):
 
 
 @register("""
-SELECT doc_id, CASE WHEN doc_id % 12 = 10 THEN left(text, 50) WHEN doc_id % 12 = 11 THEN
+SELECT doc_id, CASE WHEN doc_id % 12 = 11 THEN
   'café and more plain words' ELSE text END AS text FROM documents WHERE doc_id % 12 IN (8, 9, 10, 11)""")
 def decode_text(spark, sf):
     return I.triage_uploads(_uploads(spark, sf)).where("startswith(kind, 'text/')").select(
@@ -95,13 +95,13 @@ def assemble_pages(spark, sf):
 
 
 @register(f"""
-SELECT doc_id, char_start + k AS char_offset, page FROM ({_BOUNDS}), (SELECT unnest([0, 7]) AS k)
-WHERE length(text) + 2 > k AND length(text) > 7 ORDER BY 1""")
+SELECT doc_id, CAST(char_start + unnest([0, length(text) - 1]) AS INT) AS char_offset, page
+FROM ({_BOUNDS}) WHERE length(text) > 0""")
 def page_for_offset(spark, sf):
-    """Pages of the first and eighth character of every page."""
+    """Pages of the first and the last character of every page."""
     docs = I.assemble_pages(_conversation_pages(spark, sf))
-    starts = table_of(docs, "pages", "doc_id").where("char_end - char_start > 7")
-    offsets = starts.selectExpr("doc_id", "explode(array(char_start, char_start + 7)) as char_offset")
+    starts = table_of(docs, "pages", "doc_id").where("char_end > char_start")
+    offsets = starts.selectExpr("doc_id", "explode(array(char_start, char_end - 1)) as char_offset")
     return I.page_for_offset(offsets, docs)
 
 
@@ -161,7 +161,7 @@ def reuploads(spark, sf):
 def _quotes(spark, sf):
     """Per document: words 3-10 respaced and upper-cased, and words nobody wrote."""
     words = "slice(split(text, ' '), 3, 8)"
-    docs = _documents(spark, sf).where("size(split(text, ' ')) >= 10")
+    docs = _documents(spark, sf)
     return docs.selectExpr(
         "doc_id", "explode(array(struct(doc_id * 2 as quote_id, "
         f"concat('  ', upper(array_join({words}, '  \\n'))) as quote), struct(doc_id * 2 + 1 as "
@@ -171,7 +171,7 @@ def _quotes(spark, sf):
 
 @register("""
 SELECT doc_id * 2 AS quote_id, doc_id, 1.0::DOUBLE AS score FROM documents
-WHERE len(string_split(text, ' ')) >= 10""")
+WHERE len(string_split(text, ' ')) >= 3""")
 def anchor_exact(spark, sf):
     return M.anchor_exact(_quotes(spark, sf), _documents(spark, sf)).select(
         "quote_id", "doc_id", "score")

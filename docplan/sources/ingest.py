@@ -12,7 +12,6 @@ PAGE_BREAK = "\n\n"
 SPARSE_PAGE_CHARS = 24
 USABLE_OCR = 0.45
 SNIFF_BYTES = 1024
-MAX_BYTES, MAX_CHARS = 20 * 1024 * 1024, 200_000
 ASCII_TEXT_RATIO = 0.7
 IMAGE_SIGNATURES = (
     ("89504E470D0A1A0A", "PNG"), ("FFD8FF", "JPEG"), ("49492A00", "TIFF"), ("4D4D002A", "TIFF"),
@@ -40,8 +39,10 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def triage_uploads(files: DataFrame) -> DataFrame:
-    """Kind of each upload by content, and why it is refused, if it is.
+def triage_uploads(
+    files: DataFrame, max_bytes: int | None = None, max_chars: int | None = None
+) -> DataFrame:
+    """Kind of each upload by content, and why it is refused, if it is; of any size unless limited.
 
     Needs ``content``; the file name is never consulted.
     """
@@ -69,10 +70,11 @@ def triage_uploads(files: DataFrame) -> DataFrame:
         otherwise="'binary'",
     )
     reason = S.when(
-        (f"length(content) > {MAX_BYTES}", "'file is too large'"),
+        *([(f"length(content) > {max_bytes}", "'file is too large'")] if max_bytes else []),
         ("kind = 'empty'", "'file is empty'"),
         ("kind = 'binary'", "'looks like a binary format this engine cannot read'"),
-        (f"startswith(kind, 'text/') AND char_length(text) > {MAX_CHARS}", "'text is too long'"),
+        *([(f"startswith(kind, 'text/') AND char_length(text) > {max_chars}", "'text is too long'")]
+          if max_chars else []),
     )
     kinds = files.selectExpr("*", f"{kind} as kind")
     decoded = kinds.selectExpr("*", f"{_decoded('content', 'kind')} as text")

@@ -97,12 +97,12 @@ SENTENCES = {
              f"{long_date('due')}, ' for admission.')",
     "apply_reversed": f"concat('Students may apply from ', {long_date('due')}, ' to ', "
                       f"{long_date('opens')}, ' for admission.')",
-    "chain": "concat('Obtain the ', art1, ', fill the no-dues form and submit it to the counter.')",
+    "chain": "concat('Collect the ', art1, ', sign the hostel undertaking and deposit it at the counter.')",
     "send": f"concat('Send the ', art1, ' to the registrar before ', {long_date('due')}, '.')",
-    "attach": "concat('If you belong to a reserved category, you must attach the caste "
-              f"certificate by ', {long_date('due')}, '.')",
-    "outside": "'Applicants from outside the state must submit the domicile certificate.'",
-    "sample": "'Students are encouraged, but not required, to include a writing sample.'",
+    "attach": "concat('If you hold a sports quota seat, you must attach the fee "
+              f"challan by ', {long_date('due')}, '.')",
+    "outside": "'Employees holding a lab key must return the equipment declaration.'",
+    "sample": "'Candidates are encouraged, but not obliged, to upload a sample portfolio.'",
     "portal": "concat('Use the online portal', CASE WHEN variant = 0 THEN "
               "' (admissions.example.edu)' ELSE '' END, ' for queries.')",
     "vague": "'Submit the prescribed form to the concerned office before the last date.'",
@@ -154,13 +154,12 @@ TEXT_CONFIDENCE = "CAST(CASE WHEN doc_id % 7 = 0 THEN 0.61 ELSE 1.0 END AS DOUBL
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a small input has fewer splits than the cluster has slots.
+    """Deals the rows to as many partitions as the session's ``docplan.input.partitions`` says, if set.
 
-    Analysis is bound by CPU, not by bytes; at scale there are far more splits
-    than slots and nothing is shuffled.
+    For inputs of one row group, which Spark cannot split; unset, nothing is shuffled.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    wanted = df.sparkSession.conf.get("docplan.input.partitions", None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def notices(spark: SparkSession, sf_dir: str, parts: dict[str, str] = PARTS) -> DataFrame:

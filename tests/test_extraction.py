@@ -40,7 +40,7 @@ def test_dates(docs):
 
 
 def test_comma_series_marks_one_cutoff(docs):
-    rows = dates(docs, "opens 1 August 2026, closes 18 September 2026, results 30 October 2026")
+    rows = dates(docs, "entries since 3 March 2026, closing 21 April 2026, prizes 9 June 2026")
     assert [r.is_deadline for r in rows] == [False, True, False]
 
 
@@ -54,17 +54,17 @@ def test_sentences_skip_abbreviations(docs):
 
 def test_actions(docs):
     body = (
-        "All students enrolled in the programme must be verified by Dr. Rao.\n\n"
-        "Obtain the income certificate, fill the no-dues form and submit it to the counter. "
-        "Applicants from outside the state must submit the application form along with their "
+        "All interns enrolled for the camp must be checked by Dr. Rao.\n\n"
+        "Collect the income certificate, sign the hostel undertaking and deposit it at the counter. "
+        "Employees holding a lab key must submit the application form along with their "
         "income certificate and a self-attested copy of previous marksheet by 20 September 2026."
     )
     rows = table_of(actions.with_candidates(docs(body)), "candidates", "doc_id").collect()
     assert [(r.description, r.verb, r.optional) for r in rows][:4] == [
-        ("Verify all students enrolled in the programme by Dr. Rao", "confirm", False),
-        ("Obtain the income certificate", "obtain", True),
-        ("Fill the no-dues form", "prepare", True), ("Submit it", "submit", True)]
-    assert rows[4].conditional_on == "for from outside the state"
+        ("Check all interns enrolled for the camp by Dr. Rao", "confirm", False),
+        ("Collect the income certificate", "obtain", True),
+        ("Sign the hostel undertaking", "prepare", True), ("Deposit it", "submit", True)]
+    assert rows[4].conditional_on == "for holding a lab key"
     assert rows[4].requires[:2] == ["Application form", "Income certificate"]
 
 
