@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docplan.llm import host_rules, vec
-from docplan.llm.common import keep_where, part_of, settled
+from docplan.llm.common import keep_where, least_scrambled, part_of, settled
 
 #: Bound of the fit sample; everything else covers all rows.
 SAMPLE_ROWS = 20_000
@@ -214,8 +214,7 @@ def described(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataF
 def training_labels(labels: DataFrame, modulus: int, left_out: int, label: str, rows: int) -> DataFrame:
     """id and label of at most `rows` labelled rows outside the held-out part."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (part_of("doc_id", modulus) != left_out))
-    return known.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label")).orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return least_scrambled(known.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label")), "doc_id", rows)
 
 
 def train(described_docs: DataFrame, labels: DataFrame, modulus: int = 4, left_out: int = 2, label: str = "quality", rows: int = SAMPLE_ROWS) -> AdditiveModel:

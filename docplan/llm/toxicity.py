@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docplan.llm import vec
-from docplan.llm.common import keep_where, part_of, settled
+from docplan.llm.common import keep_where, least_scrambled, part_of, settled
 
 #: Bounds of the fit sample, of the strings it teaches with, and of the landmarks.
 SAMPLE_EACH, TAUGHT_POSITIVE, TAUGHT_NEGATIVE, TELLING, LANDMARKS = 4_000, 400, 4_000, 4_000, 96
@@ -329,8 +329,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, left_out: int =
     if len(shares) < 2:
         return nothing
     share = shares[1] / (shares[0] + shares[1])
-    by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
-    picked = known.where("label = 1").orderBy(*by_hash).limit(each).union(known.where("label = 0").orderBy(*by_hash).limit(each))
+    picked = least_scrambled(known.where("label = 1"), "doc_id", each).union(least_scrambled(known.where("label = 0"), "doc_id", each))
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
     sample = text.join(F.broadcast(picked), "doc_id").select("text", "doc_id", "label")
     one_each = sample.mapInArrow(_two_least, "doc_id bigint, label int, a bigint, b bigint").groupBy("a", "b").agg(
@@ -351,7 +350,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, left_out: int =
         if not positive:
             positive = [bytes(r["string"]) for r in strings_of.where("toxic > 1 and clean = 0").orderBy(F.desc("toxic"), "string").limit(20).collect()]
         clean = strings_of.where("clean > 0 and clean > 0.1 * toxic")
-        negative = [bytes(r["string"]) for r in clean.orderBy(F.xxhash64("string"), "string").limit(TAUGHT_NEGATIVE // 2).collect()]
+        negative = [bytes(r["string"]) for r in least_scrambled(clean, "string", TAUGHT_NEGATIVE // 2).collect()]
         if not positive or not negative:
             return nothing
         machine = fit(positive, negative)
