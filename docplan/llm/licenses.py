@@ -4,7 +4,8 @@ of word bigrams.
 Segments are the lines, the paragraphs (between blank lines) and the whole of a text, in lower case
 and cut at everything but letters and digits. A template of b bigrams can reach the threshold t only
 with a segment of t / (2 - t) * b to (2 - t) / t * b bigrams: segments no template can match are
-never cut into bigrams, and the others meet only templates of fitting size. The bigrams of the
+never cut into bigrams, and the others meet only templates of fitting size. Nor are segments without
+any of the words that every match must have (`telling_words`, taken from the templates). The bigrams of the
 remaining segments are joined with those of the templates (a fixed table, broadcast), shared ones
 are counted, and the Dice coefficient is 2 * shared / (bigrams + bigrams). All of it is DataFrame and
 SQL expressions.
@@ -83,6 +84,24 @@ def template_rows(templates: dict[str, str], threshold: float) -> list[tuple[str
     return out
 
 
+def telling_words(templates: dict[str, str], threshold: float) -> list[str]:
+    """Words of which every segment that reaches the threshold has one.
+
+    Such a segment shares at least t / (2 - t) of a template's bigrams. The longest words of each
+    template are taken until fewer bigrams than that are without one of them.
+    """
+    out: dict[str, None] = {}
+    for text in templates.values():
+        own = [b.split(" ") for b in bigrams_of(text)]
+        chosen: set[str] = set()
+        for word in sorted({w for b in own for w in b}, key=lambda w: (-len(w), w)):
+            if sum(not chosen & set(b) for b in own) < len(own) * threshold / (2 - threshold):
+                break
+            chosen.add(word)
+        out |= dict.fromkeys(sorted(chosen))
+    return list(out)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, template, dice, shared, n_bigrams and n_template of every row and template it reaches."""
     rows = template_rows(templates, threshold)
@@ -95,7 +114,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         r"case when text rlike '\n[ \t]*\n' then split(text, '\n[ \t]*\n') else array() end)")).alias("segment"))
     # each character belongs to one word at most and each word but the last is followed by another one
     words = segments.where(F.length("segment") >= 2 * fewest + 1).select(
-        "place", "doc_id", F.expr(f"filter(split(lower(segment), r'{NOT_WORD}'), w -> w != '')").alias("words")).where(f"size(words) - 1 >= {fewest}")
+        "place", "doc_id", F.expr(f"filter(split(lower(segment), r'{NOT_WORD}'), w -> w != '')").alias("words")).where(f"size(words) - 1 >= {fewest}").where(
+        F.exists("words", lambda w: w.isin(telling_words(templates, threshold))))
     cut = words.select("place", "doc_id", F.xxhash64("words").alias("segment"), F.expr(
         "array_distinct(zip_with(slice(words, 1, greatest(size(words) - 1, 0)), slice(words, 2, greatest(size(words) - 1, 0)), (a, b) -> concat(a, ' ', b)))"
     ).alias("bigrams")).where(f"size(bigrams) between {fewest} and {most}")
