@@ -16,7 +16,7 @@ from docplan.operators.text import RAW_TOKEN, fold_characters, mask_breaks, norm
 # Thresholds of anchoring and of the verification built on it.
 KEEP_AT, VERBATIM_AT = 0.72, 0.92
 VERBATIM_SCORE, LOOSE_SCORE = 0.86, 0.55
-ANCHOR_TOKENS, OCCURRENCES, WINDOW_SLACK = 4, 64, 1.35
+ANCHOR_TOKENS, WINDOW_SLACK = 4, 1.35
 SPAN = "struct<char_start:int,char_end:int>"
 
 
@@ -97,36 +97,36 @@ def _side_by_side(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     return needles.join(docs.selectExpr("doc_id", "text", f"{normalize('text')} as _hay"), "doc_id")
 
 
-@F.pandas_udf(
-    T.StructType().add("score", T.DoubleType()).add("lo", T.IntegerType()).add("hi", T.IntegerType())
-)
-def _similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Ratcliff-Obershelp similarity and the aligned part of the window."""
-    from difflib import SequenceMatcher
+def _similarity(threshold: float):
+    """Ratcliff-Obershelp similarity and the aligned part of the window, 0 if below the threshold."""
+    kinds = T.StructType().add("score", T.DoubleType()).add("lo", T.IntegerType()).add("hi", T.IntegerType())
 
-    for quotes, windows in batches:
-        rows = []
-        for quote, window in zip(quotes, windows, strict=True):
-            matcher = SequenceMatcher(None, quote, window, autojunk=False)
-            if matcher.quick_ratio() < KEEP_AT:
-                rows.append((0.0, 0, 0))
-                continue
-            blocks = [b for b in matcher.get_matching_blocks() if b.size]
-            score = matcher.ratio()
-            rows.append((score, blocks[0].b, blocks[-1].b + blocks[-1].size) if blocks else (0.0, 0, 0))
-        yield pd.DataFrame(rows, columns=["score", "lo", "hi"])
+    @F.pandas_udf(kinds)
+    def compare(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        from difflib import SequenceMatcher
 
+        for quotes, windows in batches:
+            rows = []
+            for quote, window in zip(quotes, windows, strict=True):
+                matcher = SequenceMatcher(None, quote, window, autojunk=False)
+                if matcher.quick_ratio() < threshold:
+                    rows.append((0.0, 0, 0))
+                    continue
+                blocks = [b for b in matcher.get_matching_blocks() if b.size]
+                score = matcher.ratio()
+                rows.append((score, blocks[0].b, blocks[-1].b + blocks[-1].size) if blocks else (0.0, 0, 0))
+            yield pd.DataFrame(rows, columns=["score", "lo", "hi"])
 
-#: Declared nondeterministic so that the filter on its score is not pushed below
-#: the projection, where every window would be compared a second time.
-_similarity = _similarity.asNondeterministic()
+    # nondeterministic, so that the filter on its score is not pushed below the
+    # projection, where every window would be compared a second time
+    return compare.asNondeterministic()
 
 
-def candidate_windows(quote: str, hay: str) -> str:
-    """Window starts to compare: around the quote's rarest words in the source.
+def candidate_windows(quote: str, hay: str, places_each: int | None = None) -> str:
+    """Window starts to compare: around the quote's four rarest words in the source.
 
-    At most four words times 64 places each, as the method prescribes; each
-    start puts the word where it stands in the quote.
+    All places of those words, or the first ``places_each`` of each; a start
+    puts the word where it stands in the quote.
     """
     q_words, h_words = S.find_all(quote, r"(?U)\w+"), S.find_all(hay, r"(?U)\w+")
 
@@ -146,7 +146,7 @@ def candidate_windows(quote: str, hay: str) -> str:
         starts = S.transform(
             rarest,
             lambda r: S.transform(
-                f"slice({r}.places, 1, {OCCURRENCES})",
+                f"slice({r}.places, 1, {places_each})" if places_each else f"{r}.places",
                 lambda p: f"greatest(0, {p} - ({r}.at - {qs}[0].char_start))",
             ),
         )
@@ -155,7 +155,9 @@ def candidate_windows(quote: str, hay: str) -> str:
     return S.let_all([q_words, h_words], build)
 
 
-def anchor_fuzzy(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+def anchor_fuzzy(
+    quotes: DataFrame, docs: DataFrame, threshold: float = KEEP_AT, places_each: int | None = None
+) -> DataFrame:
     """Quotes that stand in their source approximately, with their best place.
 
     Candidate windows are found natively; only their similarity is scored in
@@ -164,7 +166,7 @@ def anchor_fuzzy(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """
     width = f"greatest(char_length(_needle), cast(char_length(_needle) * {WINDOW_SLACK}D as int))"
     windows = (
-        f"if(instr(_hay, _needle) > 0, {S.empty('int')}, {candidate_windows('_needle', '_hay')})"
+        f"if(instr(_hay, _needle) > 0, {S.empty('int')}, {candidate_windows('_needle', '_hay', places_each)})"
     )
     placed = _side_by_side(quotes, docs).selectExpr(
         "quote_id", "doc_id", "_needle", "_hay", f"posexplode_outer({windows}) as (_k, _start)"
@@ -173,8 +175,8 @@ def anchor_fuzzy(quotes: DataFrame, docs: DataFrame) -> DataFrame:
         placed.where("_k IS NOT NULL")
         .selectExpr("quote_id", "doc_id", "_k", "_start", "_needle",
                     f"substring(_hay, _start + 1, {width}) as _window")
-        .withColumn("s", _similarity("_needle", "_window"))
-        .where(f"s.score >= {KEEP_AT}D")
+        .withColumn("s", _similarity(threshold)("_needle", "_window"))
+        .where(f"s.score >= {threshold}D")
     )
     best = scored.groupBy("quote_id", "doc_id").agg(
         F.max(F.struct("s.score", (-F.col("_k")).alias("k"),
@@ -190,8 +192,8 @@ def anchor_fuzzy(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def anchored(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    return anchor_exact(quotes, docs).unionByName(anchor_fuzzy(quotes, docs))
+def anchored(quotes: DataFrame, docs: DataFrame, threshold: float = KEEP_AT) -> DataFrame:
+    return anchor_exact(quotes, docs).unionByName(anchor_fuzzy(quotes, docs, threshold))
 
 
 def verify_proposals(proposals: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -200,8 +202,8 @@ def verify_proposals(proposals: DataFrame, anchors: DataFrame) -> DataFrame:
     ``proposals``: quote_id, doc_id, kind and payload columns. Only actions
     can be demoted; a loose requirement or gap is kept as it is.
     """
-    spans = anchors.select("quote_id", "char_start", "char_end", F.col("score").alias("anchor"))
-    return proposals.join(spans, "quote_id", "left").selectExpr(
+    spans = anchors.select("quote_id", "doc_id", "char_start", "char_end", F.col("score").alias("anchor"))
+    return proposals.join(spans, ["quote_id", "doc_id"], "left").selectExpr(
         "*",
         S.when(
             ("anchor IS NULL", "'hallucinated'"),

@@ -308,7 +308,16 @@ def ablation(spark, sf):
 # --- usage ------------------------------------------------------------------
 
 
-@register()
+@register("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, epoch(ts) AS t, row_number() OVER (
+  PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+walk AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS taken, CAST(NULL AS BIGINT) AS event_id,
+  CAST(NULL AS TIMESTAMP) AS ts, true AS accepted, 0 AS retry_after FROM events UNION ALL
+  SELECT user_id, n, CASE WHEN len(still) < 3 THEN list_append(still, t) ELSE still END, event_id, ts, len(still) < 3,
+    CASE WHEN len(still) < 3 THEN 0 ELSE CAST(trunc(28800 - (t - still[1])) AS INT) + 1 END
+  FROM (SELECT e.*, list_filter(w.taken, lambda x: e.t - x <= 28800) AS still
+    FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SELECT user_id, event_id, ts, accepted, retry_after FROM walk WHERE n > 0""")
 def quota_audit(spark, sf):
     """At most three events per user in eight hours."""
     events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "ts")

@@ -240,7 +240,16 @@ _LINE_SPAN = (
 )
 
 
-@register()
+@register("""
+WITH RECURSIVE spans AS (SELECT DISTINCT l_orderkey AS doc_id, l_partkey % 2 = 0 AS rule,
+  CAST(l_linenumber * 10 AS INT) AS s, CAST(l_linenumber * 10 + 4 + l_quantity % 20 AS INT) AS e FROM lineitem),
+arms AS (SELECT doc_id, coalesce(list(struct_pack(s := s, e := e) ORDER BY s, e) FILTER (WHERE rule), []) AS r,
+  coalesce(list(struct_pack(s := s, e := e) ORDER BY s, e) FILTER (WHERE NOT rule), []) AS p FROM spans GROUP BY 1),
+walk AS (SELECT doc_id, 1 AS i, r AS kept, p FROM arms UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN len(list_filter(kept, lambda k: least(p[i].e, k.e) - greatest(p[i].s, k.s) > 0
+    AND 2 * (least(p[i].e, k.e) - greatest(p[i].s, k.s)) >= least(p[i].e - p[i].s, k.e - k.s))) > 0 THEN kept
+    ELSE list_append(kept, p[i]) END, p FROM walk WHERE i <= len(p))
+SELECT doc_id, m.s AS char_start, m.e AS char_end FROM (SELECT doc_id, unnest(kept) AS m FROM walk WHERE i > len(p))""")
 def merge_arms(spark, sf):
     """Rule findings of an order merged with proposals that overlap none of them.
 
