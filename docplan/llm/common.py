@@ -13,6 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows handed to Python at once; texts are long, and a worker holds two or three such batches.
+BATCH_ROWS = 1000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """From now on the session hands at most BATCH_ROWS rows at once to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of this application, below what spark.checkpoint.dir names.
 
@@ -27,6 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def settled(df: DataFrame) -> DataFrame:
     """The frame written to the shared checkpoint folder and read from there: its lineage ends."""
+    modest_batches(df.sparkSession)
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
@@ -39,6 +51,7 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,6 +69,7 @@ def free_name(df: DataFrame, wish: str) -> str:
 
 def keep_where(docs: DataFrame, decide: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     """The rows, all columns, for which `decide` is true of a batch's rows."""
+    modest_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
