@@ -35,8 +35,8 @@ from docplan.llm import vec
 from docplan.llm.common import keep_where, least_scrambled, part_of, settled
 
 #: Bounds of the fit sample, of the strings it teaches with, and of the landmarks.
-SAMPLE_EACH, TAUGHT_POSITIVE, TAUGHT_NEGATIVE, TELLING, LANDMARKS = 4_000, 400, 4_000, 4_000, 96
-SPAN, DECAY, WIDTH = 5, 0.6, 30
+SAMPLE_EACH, TAUGHT_POSITIVE, TAUGHT_NEGATIVE, TELLING, LANDMARKS = 4_000, 400, 4_000, 4_000, 320
+SPAN, DECAY, WIDTH = 5, 0.4, 30
 #: Lengths of the runs of symbols whose counts tell toxic strings.
 GRAMS = (4, 5, 6, 7, 8)
 #: Margins below the floor are not told apart.
@@ -185,8 +185,8 @@ def _matrix_of(texts: list[bytes]) -> np.ndarray:
     return matrix(flat, ends - sizes, ends)
 
 
-def fit(positive: list[bytes], negative: list[bytes]) -> Machine:
-    """A squared-hinge machine on Nystrom features; strings are bytes of symbols."""
+def fit(positive: list[bytes], negative: list[bytes], weight: list[float]) -> Machine:
+    """A squared-hinge machine on Nystrom features; strings are bytes of symbols, positive ones weighted."""
     texts = positive + negative
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
     half = LANDMARKS // 2
@@ -208,7 +208,8 @@ def fit(positive: list[bytes], negative: list[bytes]) -> Machine:
     good = values > 1e-6 * values.max()
     project = vectors[:, good] / np.sqrt(values[good])
     x = np.column_stack([kernel @ project, np.ones(len(y))])
-    cost = np.where(y > 0, len(negative) / max(1, len(positive)), 1.0) * 10 / len(y)
+    share = np.sqrt(np.array(weight))
+    cost = np.concatenate([len(negative) * share / share.sum(), np.ones(len(negative))]) * 10 / len(y)
     keep, w = np.ones(len(y), bool), np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1]) * 1e-3
     ridge[-1, -1] = 1e-9
@@ -341,19 +342,21 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, left_out: int =
     n1, n0 = int((one_each["label"] == 1).sum()), int((one_each["label"] == 0).sum())
     runs = settled(_gram_counts(sample))
     often = runs.where("toxic + clean > 1").count()
-    need = max(2, int(np.ceil(np.log(max(often, 2)) / -np.log(n1 / (n1 + n0)))))
-    telling = runs.where(f"toxic - 4 * clean >= {need} and clean <= 0.1 * toxic").orderBy(F.desc("toxic"), "gram").limit(TELLING).select("gram")
+    need = max(2, int(np.ceil(np.log(20 * max(often, 1)) / -np.log(n1 / (n1 + n0)))))
+    telling = runs.where(f"toxic >= {need} and clean <= 0.03 * toxic").orderBy(F.desc("toxic"), "gram").limit(TELLING).select("gram")
     strings_of = _taught(sample, np.array([r["gram"] for r in telling.collect()], np.int64)).persist()
     try:
-        positive = [bytes(r["string"]) for r in strings_of.where("holds and toxic > 0 and clean <= 0.1 * toxic").orderBy(
-            F.desc("toxic"), "string").limit(TAUGHT_POSITIVE).collect()]
-        if not positive:
-            positive = [bytes(r["string"]) for r in strings_of.where("toxic > 1 and clean = 0").orderBy(F.desc("toxic"), "string").limit(20).collect()]
-        clean = strings_of.where("clean > 0 and clean > 0.1 * toxic")
+        support = max(2, int(0.002 * n1))  # rarer strings hold a telling run by chance as well
+        found = strings_of.where(f"holds and toxic >= {support} and clean <= 0.03 * toxic").orderBy(
+            F.desc("toxic"), "string").limit(TAUGHT_POSITIVE).collect()
+        if not found:
+            found = strings_of.where("toxic > 1 and clean = 0").orderBy(F.desc("toxic"), "string").limit(20).collect()
+        positive, weight = [bytes(r["string"]) for r in found], [float(r["toxic"]) for r in found]
+        clean = strings_of.where("clean > 0 and clean > 0.03 * toxic")
         negative = [bytes(r["string"]) for r in least_scrambled(clean, "string", TAUGHT_NEGATIVE // 2).collect()]
         if not positive or not negative:
             return nothing
-        machine = fit(positive, negative)
+        machine = fit(positive, negative, weight)
 
         def hard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -364,7 +367,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, left_out: int =
         hardest = clean.select("string").mapInArrow(hard, "string binary, margin double").where(f"margin > {FLOOR}").orderBy(
             F.desc("margin"), "string").limit(TAUGHT_NEGATIVE // 2)
         negative = list(dict.fromkeys([bytes(r["string"]) for r in hardest.collect()] + negative))
-        machine = fit(positive, negative)
+        machine = fit(positive, negative, weight)
     finally:
         strings_of.unpersist()
 
