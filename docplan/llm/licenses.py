@@ -7,10 +7,16 @@ with a segment of t / (2 - t) * b to (2 - t) / t * b bigrams: segments no templa
 never cut into bigrams, and the others meet only templates of fitting size. Nor are segments without
 any of the words that every match must have (`telling_words`, taken from the templates). The bigrams of the
 remaining segments are joined with those of the templates (a fixed table, broadcast), shared ones
-are counted, and the Dice coefficient is 2 * shared / (bigrams + bigrams). All of it is DataFrame and
-SQL expressions.
+are counted, and the Dice coefficient is 2 * shared / (bigrams + bigrams).
 
-Result: for each row and template it reaches, the best segment. Null and empty texts have no
+A licence need not be a segment (it has paragraphs, is wrapped, or stands in a line of prose), so every
+template is also sought in the windows of a text: all runs of consecutive words, across lines and
+paragraphs, of up to (2 - t) / t times the template's bigrams, repeated ones counted. The best window
+begins and ends with bigrams of the template, so only those are tried, in rows that hold t / (2 - t)
+of its bigrams. All of it is DataFrame and SQL expressions.
+
+Result: for each row and template it reaches, the best segment or window. The SQL knows the segments
+only: what windows add or improve is not in it. Null and empty texts have no
 segment. Repeated rows are scanned each. An empty table gives an empty result. Columns other than id
 and text are not read.
 """
@@ -102,6 +108,45 @@ def telling_words(templates: dict[str, str], threshold: float) -> list[str]:
     return list(out)
 
 
+def window_rows(templates: dict[str, str], threshold: float) -> list[tuple[str, list[str], int, float, int]]:
+    """template, its bigrams, their number, the fewest a match shares, and the most bigrams of a window, repeated ones counted."""
+    out = []
+    for name, text in templates.items():
+        own, most = bigrams_of(text), (2 - threshold) / threshold
+        out.append((name, own, len(own), len(own) * threshold / (2 - threshold), int((len(re.findall(r"[^\W_]+", text)) - 1) * most)))
+    return out
+
+
+def _found_in_windows(place: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """The best window of each row and template that reach the threshold; nothing is shuffled before that."""
+    table = place.sparkSession.createDataFrame(
+        window_rows(templates, threshold), "template string, own array<string>, n_template int, needed double, widest int")
+    pairs = {b for text in templates.values() for b in bigrams_of(text)}
+    # exploding arrays of one keeps the optimizer from computing what they hold once for every use
+    once = lambda value: F.explode(F.array(value))
+    cut = place.select("place", "doc_id", once(F.expr(f"filter(split(lower(text), r'{NOT_WORD}'), w -> w != '')")).alias("words")).where("size(words) > 1").where(
+        F.exists("words", lambda w: w.isin(telling_words(templates, threshold))))
+    # a bigram is built only where both of its words are in some template
+    marked = cut.select("*", once(F.transform("words", lambda w: w.isin(sorted({w for b in pairs for w in b.split(" ")})))).alias("marks"))
+    hits = marked.select("place", "doc_id", "words", once(F.expr(
+        "transform(filter(sequence(0, size(words) - 2), i -> marks[i] and marks[i + 1]), i -> struct(i as at, concat(words[i], ' ', words[i + 1]) as bigram))"
+    )).alias("hits")).select("*", once(F.expr("array_distinct(hits.bigram)")).alias("held"))
+    # most rows hold too few of any template's bigrams
+    near = hits.where(f"size(held) >= {min(r[3] for r in window_rows(templates, threshold))}").join(
+        F.broadcast(table), F.expr("size(held) >= needed and size(array_intersect(held, own)) >= needed")).select(
+        "place", "doc_id", "template", "n_template", "needed", "widest", "words", once(F.filter("hits", lambda h: F.array_contains("own", h["bigram"]))).alias("hits"))
+    starts = near.select("*", F.posexplode("hits").alias("k", "start")).select(
+        "place", "doc_id", "template", "n_template", "needed", "words", F.col("start.at").alias("begin"),
+        once(F.expr("filter(slice(hits, k + 1, widest), h -> h.at < start.at + widest)")).alias("ahead")).where("size(array_distinct(ahead.bigram)) >= needed").select(
+        "*", once(F.expr("transform(slice(words, begin + 1, ahead[size(ahead) - 1].at - begin + 1), (w, i) -> concat(w, ' ', words[begin + i + 1]))")).alias("grams"))
+    # an end before the needed-th hit cannot match
+    ends = starts.select("place", "doc_id", "template", "n_template", "begin", "ahead", "grams", F.explode(F.expr(
+        "sequence(cast(ceil(needed) as int), size(ahead))")).alias("last")).select(
+        "place", "doc_id", "template", "n_template", F.expr("size(array_distinct(slice(ahead.bigram, 1, last)))").alias("shared"),
+        F.expr("size(array_distinct(slice(grams, 1, ahead[last - 1].at - begin + 1)))").alias("n_bigrams"))
+    return ends.withColumn("dice", 2.0 * F.col("shared") / (F.col("n_bigrams") + F.col("n_template"))).where(f"dice >= {threshold}")
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, template, dice, shared, n_bigrams and n_template of every row and template it reaches."""
     rows = template_rows(templates, threshold)
@@ -124,8 +169,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     # equal segments of a row are one: their bigrams are counted once
     counted = met.groupBy("place", "doc_id", "segment", "template", "n_template", "n_bigrams").agg(F.countDistinct("bigram").alias("shared")).withColumn(
         "dice", 2.0 * F.col("shared") / (F.col("n_bigrams") + F.col("n_template"))).where(f"dice >= {threshold}")
+    columns = ("place", "doc_id", "template", "dice", "shared", "n_bigrams", "n_template")
+    both = counted.select(*columns).unionByName(_found_in_windows(place, templates, threshold).select(*columns))
     best = F.max(F.struct("dice", "shared", "n_bigrams", "n_template")).alias("best")
-    return counted.groupBy("place", "doc_id", "template").agg(best).select("doc_id", "template", "best.dice", "best.shared", "best.n_bigrams", "best.n_template")
+    return both.groupBy("place", "doc_id", "template").agg(best).select("doc_id", "template", "best.dice", "best.shared", "best.n_bigrams", "best.n_template")
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:

@@ -314,3 +314,38 @@ def test_licences(make):
              mit.lower().replace("software", "program", 1), filler(4, 500), notice, None, "", "licensed under"]
     out = {(r["doc_id"], r["template"]): r["dice"] for r in licenses.scan(make(texts)).collect()}
     assert out[0, "Apache-2.0 notice"] == 1 and out[4, "Apache-2.0 notice"] == 1 and out[2, "MIT"] > 0.95 and {k[0] for k in out} <= {0, 1, 2, 4}
+
+
+def test_licences_across_lines_and_in_prose(make):
+    """Verbatim paragraphs between prose and code, a wrapped notice followed by text, a notice in a line."""
+    mit, isc, notice = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["ISC"], licenses.TEMPLATES["Apache-2.0 notice"]
+    for mark in (" The above", " THE SOFTWARE IS"):
+        mit, isc = mit.replace(mark, "\n\n" + mark.strip(), 1), isc.replace(mark, "\n\n" + mark.strip(), 1)
+    assert mit.count("\n\n") == 2 and isc.count("\n\n") == 1
+    gpl = licenses.TEMPLATES["GPL-3.0 notice"].replace(" the GNU", "\nthe GNU")
+    texts = [filler(1, 90) + "\n\n" + mit + "\n\n" + filler(2, 300), filler(3, 90) + "\n" + isc + "\n" + filler(4, 90),
+             filler(5, 30) + "\n" + gpl + "\n" + filler(6, 30), filler(7, 30) + " " + notice + " " + filler(8, 30),
+             filler(9, 40) + " " + " ".join(mit.split()[:90]) + " " + filler(10, 200)]
+    out = {(r["doc_id"], r["template"]): r for r in licenses.scan(make(texts)).collect()}
+    assert {(0, "MIT"), (1, "ISC"), (2, "GPL-3.0 notice"), (3, "Apache-2.0 notice")} == set(out)
+    assert all(r["dice"] == 1 and r["shared"] == r["n_bigrams"] == r["n_template"] for r in out.values())
+
+
+def test_licence_windows_equal_brute_force(make):
+    rng, template = random.Random(6), licenses.TEMPLATES["BSD notice"]
+    own = [w.lower() for w in re.findall(r"[^\W_]+", template)]
+    texts = []
+    for k in range(60):
+        changed = [w if rng.random() > 0.12 else rng.choice(["new", w + " " + w, ""]) for w in own]
+        texts.append(filler(k, rng.randrange(12)) + " " + " ".join(changed) + " " + filler(k + 90, rng.randrange(12)))
+    goal, most = set(licenses.bigrams_of(template)), int((len(own) - 1) * 1.5)
+    want = {}
+    for k, text in enumerate(texts):
+        words = re.findall(r"[^\W_]+", text)
+        grams = [f"{a} {b}" for a, b in zip(words, words[1:])]
+        best = max(2 * len(goal & set(grams[i:j])) / (len(goal) + len(set(grams[i:j]))) for i in range(len(grams)) for j in range(i + 1, min(len(grams), i + most) + 1))
+        whole = 2 * len(goal & set(grams)) / (len(goal) + len(set(grams)))
+        if best >= 0.8:
+            want[k] = max(whole, best)
+    found = {r["doc_id"]: r["dice"] for r in licenses.scan(make(texts)).where("template = 'BSD notice'").collect()}
+    assert found == pytest.approx(want) and 5 < len(want) < 60
