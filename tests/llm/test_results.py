@@ -152,6 +152,28 @@ def test_classes_equal_brute_force(make):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({top(k) for k in range(len(texts))})
 
 
+def test_stars_and_chains_in_one_bucket(make, monkeypatch):
+    """Members of a leader's class still meet the rest of their bucket: links that lead through them count."""
+    nodes = near_copies.nodes
+    monkeypatch.setattr(near_copies, "nodes", lambda docs: nodes(docs).selectExpr("doc_id", "node", "n_words", "array(1L) as sketches"))
+    texts = []
+    for family in range(12):
+        words = filler(family * 31, 60).split()
+        for k in range(5):  # a chain of blocks replaced one after the other, or a star of blocks replaced in the base
+            own = words if family % 2 else words.copy()
+            own[k * 10 : k * 10 + 10] = [f"f{family}k{k}n{i}" for i in range(10)] if k else own[:10]
+            texts.append(" ".join(own))
+    split = [t.split() for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and i // 5 == j // 5 and _edits(split[i], split[j]) <= 12:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    found = {r["doc_id"]: r["class_id"] for r in near_copies.deduplicated(make(texts)).collect()}
+    assert [found[k] for k in range(len(texts))] == label == [k // 5 * 5 for k in range(len(texts))]
+
+
 def test_order_matters_to_sketches():
     a, b = np.arange(1, 9, dtype=np.uint64), np.arange(8, 0, -1).astype(np.uint64)
     few = np.arange(1, 4, dtype=np.uint64)
