@@ -73,7 +73,4 @@ from linked l join walk w on w.conv_id = l.conv_id and w.turn = l.turn
 
 @register("op6_quotation_threads", _OP6_SQL)
 def op6_quotation_threads(spark, sf_dir):
-    mail = quotations.as_mail(table(spark, sf_dir, "conversations"))
-    return quotations.linked(mail, scope_col="conv_id").selectExpr(
-        "cast(scope as bigint) as conv_id", "message % 65536 as turn", "parent % 65536 as parent",
-        "conversation % 65536 as conversation", "cast(depth as int) as depth", "own_text")
+    return quotations.threads(table(spark, sf_dir, "conversations"))

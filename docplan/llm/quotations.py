@@ -13,8 +13,9 @@ Result, one row for each message: its conversation, parent, depth and own text w
 ordered by depth and time within a conversation it is the reply order (`in_reply_order` writes it so,
 range-partitioned, whatever a conversation's size). Originals are aggregated before the join, so a
 passage that a third of all messages have is one row on that side. Null and empty bodies have no
-passage and begin conversations. Repeated ids are reduced to one row (the least time, then body);
-null ids are kept as conversations of their own only if their row is unique. An empty table gives an
+passage and begin conversations. An id is a number or a struct; repeated ids are reduced to one row
+(the least time, then body), null ids too: who may have such rows gives them ids of their own, as
+`as_mail` does. Messages of unknown time are no originals and have no parent. An empty table gives an
 empty result. Columns other than the four named are not read.
 """
 
@@ -28,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docplan.llm.common import settled
 
@@ -84,14 +86,16 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def linked(messages: DataFrame, id_col: str = "message", sent_col: str = "sent", body_col: str = "body", scope_col: str | None = None) -> DataFrame:
     """message, scope, sent, own_text, parent, conversation and depth of every message."""
     scope = F.col(scope_col).cast("string") if scope_col else F.lit("")
-    taken = messages.select(F.col(id_col).cast("bigint").alias("message"), F.coalesce(scope, F.lit("")).alias("scope"),
+    kind = messages.schema[id_col].dataType
+    kind = kind.simpleString() if isinstance(kind, StructType) else "bigint"
+    taken = messages.select(F.col(id_col).cast(kind).alias("message"), F.coalesce(scope, F.lit("")).alias("scope"),
                             F.col(sent_col).cast("bigint").alias("sent"), F.col(body_col).cast("string").alias("body"))
     first = F.min(F.struct("sent", "scope", "body")).alias("one")
     single = taken.groupBy("message").agg(first).select("message", "one.scope", "one.sent", "one.body")
     told = settled(single.mapInArrow(
-        _parse, "message bigint, scope string, sent bigint, own_text string, passages array<struct<level:int,passage:bigint,n_words:int>>"))
+        _parse, f"message {kind}, scope string, sent bigint, own_text string, passages array<struct<level:int,passage:bigint,n_words:int>>"))
     passages = told.select("message", "scope", "sent", F.explode("passages").alias("p")).select("message", "scope", "sent", "p.*")
-    originals = passages.where("level = 0").groupBy("scope", "passage").agg(F.min(F.struct("sent", "message")).alias("original"))
+    originals = passages.where("level = 0 and sent is not null").groupBy("scope", "passage").agg(F.min(F.struct("sent", "message")).alias("original"))
     quotes = passages.where("level > 0")
     parents = quotes.join(originals, ["scope", "passage"]).where("original.sent < sent").groupBy("message").agg(
         F.min(F.struct("level", -F.col("n_words"), -F.col("original.sent"), "original.message")).alias("best")).select(
@@ -120,11 +124,28 @@ def in_reply_order(found: DataFrame) -> DataFrame:
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
-    """Turns as messages that quote the turn before at level 1 and the one before that at level 2."""
-    before = lambda k: f"lag(struct(role, text), {k}) over (partition by conv_id order by turn)"
+    """Turns as messages that quote the turn before at level 1 and the one before that at level 2.
+
+    A message's id is its conversation, turn, and number in the conversation. Rows without a
+    conversation belong to none: each is alone in its scope. Rows without a turn quote nothing and
+    are not quoted.
+    """
+    order = "order by turn, role, text"
+    before = lambda k: f"lag(struct(role, text), {k}) over (partition by conv_id, lost {order})"
     quoted = lambda text, sign: rf"concat('{sign} ', regexp_replace({text}, '\n', '\n{sign} '), '\n')"
-    return conversations.selectExpr("conv_id", "turn", "text", f"{before(1)} as one", f"{before(2)} as two").selectExpr(
-        "conv_id", "conv_id * 65536 + turn as message", "turn as sent",
+    # a row that lacks conversation or turn is a partition of its own
+    alone = conversations.withColumn("lost", F.expr("if(conv_id is null or turn is null, monotonically_increasing_id(), null)"))
+    return alone.selectExpr("conv_id", "turn", "text", f"{before(1)} as one", f"{before(2)} as two",
+                            f"coalesce(lost, row_number() over (partition by conv_id, lost {order})) as copy").selectExpr(
+        "struct(conv_id, turn, copy) as message", "turn as sent",
+        "if(conv_id is null, concat('lost ', copy), cast(conv_id as string)) as scope",
         rf"concat(case when one.text is null then '' else concat(coalesce(one.role, 'someone'), ' wrote:\n', "
         rf"case when two.text is null then '' else concat('> ', coalesce(two.role, 'someone'), ' wrote:\n', {quoted('two.text', '>>')}) end, "
         rf"{quoted('one.text', '>')}) end, coalesce(text, '')) as body")
+
+
+def threads(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, parent, conversation (turns of the same conversation), depth and own_text of every row."""
+    return linked(as_mail(conversations), scope_col="scope").selectExpr(
+        "message.conv_id as conv_id", "message.turn as turn", "parent.turn as parent", "conversation.turn as conversation",
+        "cast(depth as int) as depth", "own_text")

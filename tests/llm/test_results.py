@@ -235,6 +235,23 @@ def test_long_chain_of_replies(spark):
     assert [(r["message"], r["conversation"], r["depth"]) for r in out.orderBy("depth").collect()] == [(k, 0, k) for k in range(300)]
 
 
+def test_hot_conversation_and_rows_without_ids(spark):
+    """One row for each row: over 65,536 turns, null conversations and turns, repeated rows."""
+    size, said = 70000, ["the first of both things said", "the second of both things said"]
+    hot = spark.range(size).selectExpr("1L as conv_id", "id as turn", "'user' as role", f"if(id % 2 = 0, '{said[0]}', '{said[1]}') as text")
+    rows = [(2, 0, "user", "something else was said here"), (2, 1, "user", "and then an answer was given"), (2, 1, "user", "and then an answer was given"),
+            (2, None, "user", "something else was said here"), (None, 0, "user", said[0]), (None, 1, "user", said[1]), (None, None, None, None), (None, None, None, None)]
+    mail = hot.unionByName(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    out = [tuple(r) for r in quotations.threads(mail).collect()]
+    long = {r[1]: r for r in out if r[0] == 1}
+    assert len(out) == size + len(rows) and len(long) == size
+    assert all(long[k][2:5] == ((None, 0, 0) if k == 0 else (0, 0, 1) if k % 2 else (1, 0, 2)) for k in range(size))
+    key = lambda r: [(v is None, v or 0) for v in r]
+    assert sorted((r[:5] for r in out if r[0] == 2), key=key) == [(2, 0, None, 0, 0), (2, 1, 0, 0, 1), (2, 1, 0, 0, 1), (2, None, None, None, 0)]
+    assert sorted((r[:5] for r in out if r[0] is None), key=key) == [
+        (None, 0, None, 0, 0), (None, 1, None, 1, 0), (None, None, None, None, 0), (None, None, None, None, 0)]
+
+
 def test_shards_are_a_computable_shuffle(make):
     docs = make([f"text {k % 90}" for k in range(1000)] + [None] * 3)
     rows = sharding.shard(docs, 16, key=7).collect()
