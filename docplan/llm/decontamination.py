@@ -7,9 +7,13 @@ running sums of the shingles' bits. An item is fingerprinted at all STRIDE phase
 it at, so an exact copy always has distance 0 to one of them. Fingerprints are cut into three
 blocks: two that differ in at most RADIUS bits differ in at most RADIUS // 3 bits of some block, so
 looking each block up among all variants of the items' blocks with that many flips finds every
-fingerprint within RADIUS; what is found is compared in full. A pair within RADIUS is then verified:
-the weighted Jaccard similarity of the item's shingles and those of the item-sized window there
-(weights: bytes of a shingle, counted as often as it occurs) must reach the threshold.
+fingerprint within RADIUS; what is found is compared in full. Fingerprints leave some copies to chance
+and know no window that a row's start or end cuts short, so candidates are also the places of an item's
+anchors: its rarest shingles, of more than 1 - THRESHOLD of its weight together. A window that reaches
+the threshold lacks at most that weight, so it holds an anchor. Near a candidate every start is
+verified: the weighted Jaccard similarity of the item's shingles and those of the item-sized window
+there, cut off at the ends of the row (weights: bytes of a shingle, counted as often as it occurs),
+must reach the threshold. So every pair is found, with its best window.
 
 Texts never leave their task and are not shuffled. The items are used in blocks of ITEM_BLOCK (all
 are used, whatever their number; each block is one pass over the texts), which bounds what a task
@@ -99,6 +103,33 @@ class Index:
                     own = fingerprints(hashed[phase : phase + step * count], step, count)
                     self.classes.setdefault((step, count), []).append((int(own[0]), number, phase))
         self._tables: dict | None = None
+        self._marked: np.ndarray | None = None
+        self.anchors, self.anchored = self._anchors()
+
+    def _anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors, ascending, and their items."""
+        if not self.bags:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        known, often = np.unique(np.concatenate([b[0] for b in self.bags]), return_counts=True)
+        found = []
+        for keys, counts, weights in self.bags:
+            order = np.argsort(often[np.searchsorted(known, keys)], kind="stable")
+            sums = np.cumsum((counts * weights)[order])
+            found.append(keys[order[: 1 + np.searchsorted(sums, (1 - self.threshold) * sums[-1] + 1e-9, side="right")]])
+        keys, items = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], items[order]
+
+    def anchors_in(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (shingle, item of which it is an anchor)."""
+        if self._marked is None:
+            self._marked = np.zeros(1 << 20, bool)
+            self._marked[self.anchors & np.uint64((1 << 20) - 1)] = True
+        at = np.flatnonzero(self._marked[hashed & np.uint64((1 << 20) - 1)])
+        lo, hi = (np.searchsorted(self.anchors, hashed[at], side=side) for side in ("left", "right"))
+        size = hi - lo
+        each = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return np.repeat(at, size), self.anchored[np.repeat(lo, size) + each]
 
     def tables(self) -> dict:
         """For every window size: fingerprints, items, phases and the marked values of each block."""
@@ -119,7 +150,7 @@ class Index:
         return self._tables
 
     def __getstate__(self):
-        return self.__dict__ | {"_tables": None}
+        return self.__dict__ | {"_tables": None, "_marked": None}
 
     def near(self, prints: np.ndarray, size: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """All pairs (window, fingerprint of the class) within the radius."""
@@ -146,7 +177,7 @@ class Index:
     def matches(self, piece: vec.Piece) -> list[tuple[int, int, float, int]]:
         """(row, item number, similarity, first word) of the best window of each pair over the threshold."""
         w, hashed, weight = shingles(piece)
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+        near: dict[tuple[int, int], list[int]] = {}  # places that windows to verify hold
         sums: dict = {}
         for (step, count), (_, items, phases, _) in self.tables().items():
             prints = fingerprints(hashed, step, count, sums)
@@ -158,18 +189,45 @@ class Index:
             window, which, start = window[inside], which[inside], start[inside]
             for item, at in set(zip(items[which].tolist(), (start - phases[which]).tolist())):
                 row = int(w.row[min(max(at, 0) + STRIDE, len(w) - 1)])
-                lo, hi = int(w.first[row]), int(w.first[row] + w.per_row[row] - WIDTH + 1)
-                n, (keys, counts, weights) = self.sizes[item], self.bags[item]
-                for p in range(at - 2, at + 3):
-                    a, b = max(lo, p), min(hi, p + n)
-                    if a >= b:
-                        continue
-                    share = _similar(keys, counts, weights, hashed[a:b], weight[a:b])
-                    if share >= self.threshold and share > best.get((row, item), (0.0, 0))[0]:
-                        best[row, item] = (share, a - lo)
-                        if share == 1:
-                            break
-        return [(row, item, share, at) for (row, item), (share, at) in best.items()]
+                near.setdefault((row, item), []).extend((at, at + self.sizes[item] - 1))
+        at, items = self.anchors_in(hashed)
+        inside = w.row[at] == w.row[at + WIDTH - 1]
+        for row, item, place in zip(w.row[at[inside]].tolist(), items[inside].tolist(), at[inside].tolist()):
+            near.setdefault((row, item), []).append(place)
+        found = []
+        for (row, item), places in near.items():
+            lo, hi = int(w.first[row]), int(w.first[row] + w.per_row[row] - WIDTH + 1)
+            if lo < hi:
+                share, at = self._best(item, hashed, weight, lo, hi, np.array(places))
+                if share >= self.threshold:
+                    found.append((row, item, share, at - lo))
+        return found
+
+    def _best(self, item: int, hashed: np.ndarray, weight: np.ndarray, lo: int, hi: int, places: np.ndarray) -> tuple[float, int]:
+        """Similarity and start of the best window of a row (shingles lo to hi) that holds one of the places."""
+        n, (keys, counts, weights) = self.sizes[item], self.bags[item]
+        places = np.sort(places)
+        best = (0.0, lo)
+        for group in np.split(places, np.flatnonzero(np.diff(places) > 2 * n) + 1):
+            start = np.arange(group[0] - n + 1, group[-1] + 1)
+            a, b = np.clip(start, lo, hi), np.clip(start + n, lo, hi)
+            a, b = a[a < b], b[a < b]
+            if not len(a):
+                continue
+            first, last = int(a[0]), int(b[-1])
+            own = weight[first:last]
+            member = np.isin(hashed[first:last], keys)
+            all_sums, sums = (np.concatenate([[0], np.cumsum(x)]) for x in (own, own * member))
+            # at most so much is shared
+            shared, both = (sums[b - first] - sums[a - first]).astype(float), float((counts * weights).sum()) + all_sums[b - first] - all_sums[a - first]
+            bound = np.minimum(1.0, shared / np.maximum(both - shared, 1e-9))
+            for k in np.argsort(-bound, kind="stable").tolist():
+                if bound[k] < self.threshold - 1e-9 or bound[k] <= best[0]:
+                    break
+                share = _similar(keys, counts, weights, hashed[a[k] : b[k]], weight[a[k] : b[k]])
+                if share > best[0]:
+                    best = (share, int(a[k]))
+        return best
 
 
 def _bag(hashed: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -35,6 +35,41 @@ def test_windows_hold_every_copy_and_close_copy(make, spark):
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [*range(12), 20]
 
 
+def test_shortened_and_altered_copies_equal_brute_force(make, spark):
+    """Rows that are items cut short, at a row's end or alone, and copies with other words: all windows from 0.8 on."""
+    rng = random.Random(8)
+    items = [filler(3000 + k, n).split() for k, n in enumerate((12, 40, 100, 100, 250))]
+    texts = [" ".join(items[2][:90]), " ".join(items[2][10:]), " ".join(items[3][5:95]), filler(1, 50) + " " + " ".join(items[3][:90])]
+    for k in range(250):
+        own = items[k % 5].copy()
+        for _ in range(rng.randrange(2 + len(own) // 50)):
+            own[rng.randrange(len(own))] = f"new{k}"
+        texts.append(f"{filler(k, rng.randrange(9))} {' '.join(own[rng.randrange(4) :])} {filler(k + 500, rng.randrange(9))}")
+
+    def bag(words):
+        return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+    def weight(counts):
+        return sum(n * sum(map(len, s)) for s, n in counts.items())
+
+    want = {}
+    for k, text in enumerate(texts):
+        words = text.split()
+        for j, item in enumerate(items):
+            goal, n = bag(item), len(item) - 4
+            if not goal & bag(words):
+                continue
+            for p in range(1 - n, len(words) - 4):
+                own = bag(words[max(p, 0) : max(0, min(len(words), p + n + 4))])
+                share = weight(goal & own) / weight(goal | own)
+                if share >= 0.8:
+                    want[k, j] = max(share, want.get((k, j), 0))
+    bench = spark.createDataFrame([(j, " ".join(i)) for j, i in enumerate(items)], "item_id int, text string")
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.contaminated(make(texts), bench).collect()}
+    assert {(0, 2), (1, 2), (2, 3), (3, 3)} < set(want) and 60 < len(want) < 250
+    assert found == pytest.approx(want)
+
+
 def test_all_fingerprints_within_the_radius_are_found():
     rng = np.random.default_rng(3)
     index = decontamination.Index([(k, filler(k, 41)) for k in range(6)])
