@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from docplan.llm import decontamination, host_rules, licenses, near_copies, packing, quality, quotations, sharding, suffix_tree, toxicity
+from docplan.llm import (code_links, decontamination, host_rules, licenses, near_copies, packing, quality, quotations, sharding, subvectors,
+                         suffix_tree, toxicity, whitening)
 from docplan.llm.common import table
 from docplan.llm.registry import register
 
@@ -74,3 +75,18 @@ from linked l join walk w on w.conv_id = l.conv_id and w.turn = l.turn
 @register("op6_quotation_threads", _OP6_SQL)
 def op6_quotation_threads(spark, sf_dir):
     return quotations.threads(table(spark, sf_dir, "conversations"))
+
+
+@register("op11_subvector_clusters", subvectors.oracle())
+def op11_subvector_clusters(spark, sf_dir):
+    return subvectors.clustered(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_sliced_whitening")
+def op12_sliced_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_rotated_code_links", code_links.oracle())
+def op13_rotated_code_links(spark, sf_dir):
+    return code_links.links(table(spark, sf_dir, "embeddings"))
