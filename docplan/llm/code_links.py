@@ -44,6 +44,8 @@ THRESHOLD = 0.9
 SPREAD, MISS = 5.0, 0.001
 #: Nodes of a block; larger cells are cut. Rows and columns of the tiles compared at once.
 CELL, TILE = 2048, 512
+#: Large cells that are broadcast (20 bytes each); more are joined.
+BROADCAST_CELLS = 200_000
 
 
 @lru_cache(maxsize=None)
@@ -119,8 +121,8 @@ def depth_for(nodes: int, dims: int, cell: int = CELL) -> int:
     return depth
 
 
-def _nodes(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """id, node (16 bytes; null for vectors that link with nothing) and the vector's doubles of every row."""
+def _nodes(df: DataFrame, vec_id: str, vector: str, kind: str) -> DataFrame:
+    """id, node (16 bytes; null for vectors that link with nothing) and the vector's numbers of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,23 +132,27 @@ def _nodes(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
             for at, n, good in zip(np.cumsum(lengths) - lengths, lengths, fine):
                 x = flat[at : at + n]
                 good = good and bool(x.any())
-                raw.append(x.tobytes() if good else None)
+                raw.append(x.astype(kind).tobytes() if good else None)
                 names.append(hashlib.blake2b(raw[-1], digest_size=16).digest() if good else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(raw, pa.binary())], ["id", "node", "raw"])
 
     return vectors(df, vec_id, vector).mapInArrow(run, f"id {id_type(df, vec_id)}, node binary, raw binary")
 
 
-def _coded(nodes: DataFrame, plan: dict[int, tuple[int, int]]) -> DataFrame:
+def _doubles(raw: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+
+
+def _coded(nodes: DataFrame, plan: dict[int, tuple[int, int]], kind: str) -> DataFrame:
     """The nodes with code, factor and cells; `plan` has tables and depth of each length of vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(2).to_pylist()
-            length = np.array([len(r) // 8 for r in raw])
+            length = np.array([len(r) // np.dtype(kind).itemsize for r in raw])
             for dims in np.unique(length):
                 at = np.flatnonzero(length == dims)
-                unit = directions(np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(-1, dims))
+                unit = directions(_doubles([raw[i] for i in at], kind))
                 packed, factor = codes(unit)
                 named = cells(unit, *plan[int(dims)])
                 rows = batch.take(pa.array(at))
@@ -161,12 +167,12 @@ def _coded(nodes: DataFrame, plan: dict[int, tuple[int, int]]) -> DataFrame:
 class _Block:
     """The nodes of one block of a cell as arrays."""
 
-    def __init__(self, batch: pa.RecordBatch):
+    def __init__(self, batch: pa.RecordBatch, kind: str):
         self.node = batch.column("node").to_pylist()
         self.copies = batch.column("copies").to_numpy()
         self.factor = batch.column("factor").to_numpy()
         n = batch.num_rows
-        self.unit = directions(np.frombuffer(b"".join(batch.column("raw").to_pylist()), np.float64).reshape(n, -1))
+        self.unit = directions(_doubles(batch.column("raw").to_pylist(), kind))
         self.code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(n, -1)
         self.cells = batch.column("cells").flatten().to_numpy().reshape(n, -1)
 
@@ -222,15 +228,15 @@ def _compare(a: _Block, b: _Block, same: bool, cell: int, threshold: float) -> t
     return links_a, links_b, forest
 
 
-def _met(blocks: DataFrame, threshold: float) -> DataFrame:
+def _met(blocks: DataFrame, threshold: float, kind: str) -> DataFrame:
     """Rows of links (node, links) and of the forest (node, other) from the sorted pairs of blocks."""
 
     def result(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         side, cell = rows.column("side").to_numpy(), rows.column("cell")[0].as_py()
-        a = _Block(rows.filter(pa.array(side == 0)))
+        a = _Block(rows.filter(pa.array(side == 0)), kind)
         alone = bool((side == 0).all()) and rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
-        b = a if alone else _Block(rows.filter(pa.array(side == 1)))
+        b = a if alone else _Block(rows.filter(pa.array(side == 1)), kind)
         links_a, links_b, forest = _compare(a, b, alone, cell, threshold)
         counts = [(n, None, int(v)) for n, v in zip(a.node, links_a) if v] + [(n, None, int(v)) for n, v in zip(b.node, links_b) if v]
         node, other, links = zip(*(counts + [(x, y, 0) for x, y in forest])) if counts or forest else ((), (), ())
@@ -263,27 +269,31 @@ def links(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", thre
           miss: float = MISS, cell: int = CELL) -> DataFrame:
     """id, n_links, component_id and kept of every row."""
     modest_batches(df.sparkSession)
-    rows = written(_nodes(df, vec_id, vector))
+    kind = "<f4" if "array<float>" == df.schema[vector].dataType.simpleString() else "<f8"
+    size = np.dtype(kind).itemsize
+    rows = written(_nodes(df, vec_id, vector, kind))
     each = rows.where("node is not null").groupBy("node").agg(
         F.count("*").alias("copies"), F.min("id").alias("least"), F.first("raw").alias("raw"))
     each = written(each)
     # one row for each length of vector that occurs
     plan = {}
-    for r in each.groupBy((F.length("raw") / 8).cast("int").alias("dims")).count().collect():
+    for r in each.groupBy((F.length("raw") / size).cast("int").alias("dims")).count().collect():
         depth = depth_for(r["count"], r["dims"], cell)
         plan[r["dims"]] = (tables_for(r["dims"], depth, threshold, miss), depth)
-    coded = written(_coded(each, plan))
-    placed = coded.withColumn("dims", (F.length("raw") / 8).cast("int"))
-    full = placed.select("dims", F.explode(F.array_distinct("cells")).alias("cell")).groupBy("dims", "cell").agg(
-        F.count("*").alias("size")).where("size > 1")
-    spread = placed.withColumn("cell", F.explode(F.array_distinct("cells"))).join(full, ["dims", "cell"])
-    cuts = spread.withColumn("cuts", F.ceil(F.col("size") / cell).cast("int")).withColumn(
+    coded = written(_coded(each, plan, kind))
+    placed = coded.withColumn("dims", (F.length("raw") / size).cast("int"))
+    counted = placed.select("dims", F.explode(F.array_distinct("cells")).alias("cell")).groupBy("dims", "cell").agg(F.count("*").alias("size"))
+    large = settled(counted.where(f"size > {cell}"))
+    if large.count() <= BROADCAST_CELLS:
+        large = F.broadcast(large)
+    spread = placed.withColumn("cell", F.explode(F.array_distinct("cells"))).join(large, ["dims", "cell"], "left")
+    cuts = spread.withColumn("cuts", F.ceil(F.coalesce("size", F.lit(1)) / cell).cast("int")).withColumn(
         "own", F.pmod(F.xxhash64("node", "cell"), F.col("cuts")).cast("int"))
     pairs = cuts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
         "dims", "cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
         (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "copies", "raw", "code", "factor", "cells")
     dealt = pairs.repartition("dims", "cell", "i", "j").sortWithinPartitions("dims", "cell", "i", "j", "side")
-    met = written(_met(dealt, threshold))
+    met = written(_met(dealt, threshold, kind))
     counted = met.where("other is null").groupBy("node").agg(F.sum("links").alias("found"))
     labels = components(met.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     told = each.select("node", "copies", "least").join(counted, "node", "left").join(labels, "node", "left").select(
