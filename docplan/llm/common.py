@@ -27,11 +27,13 @@ def modest_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of this application, below what spark.checkpoint.dir names.
 
-    Only where that is unset (tests on one machine) a temporary one is set.
+    Where that is unset, a session on one machine (tests) gets a temporary one; on a cluster it is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docplan-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 

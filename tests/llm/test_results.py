@@ -190,7 +190,8 @@ def test_classes_equal_brute_force(make):
 def test_stars_and_chains_in_one_bucket(make, monkeypatch):
     """Members of a leader's class still meet the rest of their bucket: links that lead through them count."""
     nodes = near_copies.nodes
-    monkeypatch.setattr(near_copies, "nodes", lambda docs: nodes(docs).selectExpr("doc_id", "node", "n_words", "array(1L) as sketches"))
+    monkeypatch.setattr(near_copies, "nodes", lambda docs: nodes(docs).selectExpr(
+        "doc_id", "node", "n_words", "p0", "p1", "array(named_struct('b0', 1L, 'b1', 1L, 'b2', 1L)) as buckets"))
     texts = []
     for family in range(12):
         words = filler(family * 31, 60).split()
@@ -209,6 +210,21 @@ def test_stars_and_chains_in_one_bucket(make, monkeypatch):
     assert [found[k] for k in range(len(texts))] == label == [k // 5 * 5 for k in range(len(texts))]
 
 
+@pytest.mark.parametrize("n, changed", [(300, 60), (300, 30), (60, 12), (20, 4), (12, 2), (9, 1), (5, 1)])
+def test_recall_by_edit_similarity(make, n, changed):
+    """Pairs of random words with random substitutions, down to the threshold itself: at least nine in ten are joined."""
+    rng = random.Random(n + changed)
+    texts = []
+    for k in range(100):
+        words = [f"q{rng.randrange(50000)}" for _ in range(n)]
+        other = words.copy()
+        for at in rng.sample(range(n), changed):
+            other[at] = f"z{rng.randrange(50000)}"
+        texts += [" ".join(words), " ".join(other)]
+    found = {r["doc_id"]: r["class_id"] for r in near_copies.deduplicated(make(texts)).collect()}
+    assert sum(found[2 * k] == found[2 * k + 1] for k in range(100)) >= (100 if n < near_copies.SHORT else 90)
+
+
 def test_order_matters_to_sketches():
     a, b = np.arange(1, 9, dtype=np.uint64), np.arange(8, 0, -1).astype(np.uint64)
     few = np.arange(1, 4, dtype=np.uint64)
