@@ -31,9 +31,8 @@ from docplan.llm import vec
 from docplan.llm.common import settled
 
 LENGTH, END, BIN_PIECES = 4096, 2, 8192
-#: Slots of a worker's memory of distinct words; at half full it starts anew.
-SLOTS = 1 << 22
-_SEPARATOR = "<|endoftext|>"  # its id occurs in no other text
+#: Slots of a task's memory of distinct words; at half full it starts anew.
+SLOTS = 1 << 20
 #: Kinds of bytes: 0 white space, 1 letters a-z, 2 ASCII signs, 3 digits, 4 anything else.
 _KIND = np.full(256, 4, np.uint8)
 _KIND[vec.SPACE] = 0
@@ -50,7 +49,6 @@ class WordMemory:
 
     def __init__(self, path: str, slots: int = SLOTS):
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = self.tokenizer.token_to_id(_SEPARATOR)
         self.bare = Tokenizer.from_file(path)  # for runs of letters, which need no normalising
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -67,6 +65,14 @@ class WordMemory:
         self.at, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.ids_used = np.zeros(1 << 18, np.uint32), 0
 
+    def release(self) -> None:
+        """Frees the words; the tokenizer stays with the worker."""
+        size, self.slots = self.slots, 2
+        self.clear()
+        self.slots = size
+        self.keys = None
+        self.ids = np.zeros(0, np.uint32)
+
     def _walk(self, keys: np.ndarray, insert: bool) -> np.ndarray:
         """The number of every key (-1: unknown); with `insert`, distinct new keys get slots."""
         slot = (keys >> np.uint64(11)).astype(np.int64) & (self.slots - 1)
@@ -112,7 +118,7 @@ class WordMemory:
     def find(self, keys: np.ndarray, text_of, is_plain) -> np.ndarray:
         """The number of every word; `text_of(i)` gives the i-th one's bytes."""
         keys = np.maximum(keys, np.uint64(1))
-        if self.used > self.slots // 2 - len(keys):
+        if self.keys is None or self.used > self.slots // 2 - len(keys):
             self.clear()
         out = self._walk(keys, False)
         new = np.flatnonzero(out < 0)
@@ -200,7 +206,7 @@ def document_ids(piece: vec.Piece, path: str) -> tuple[np.ndarray, np.ndarray]:
 def tokenized(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, and the ids if asked."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in vec.pieces(batch, "text", 1 << 20):
                 ids, bounds = document_ids(p, path)
@@ -218,6 +224,13 @@ def tokenized(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool =
                         pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from cut(batches)
+        finally:
+            if path in _memories:
+                _memories[path].release()
+
     kinds = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kinds)
 

@@ -238,17 +238,17 @@ def _calibrate(machine: Machine, margin: np.ndarray, toxic: np.ndarray, share: f
     return Machine(machine.table, machine.bias, float(w[0]), float(w[1] + move))
 
 
-def grams(rows: np.ndarray) -> list[np.ndarray]:
-    """Codes of the runs of GRAMS symbols, end marks included, of every row (0: none)."""
-    wide, out = rows.astype(np.int64), []
+def grams(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Codes of the runs of GRAMS symbols, end marks included, of every row (0: none), one length after the other."""
+    wide = rows.astype(np.int64)
     for k in GRAMS:
         n = wide.shape[1] - k + 1
         if n > 0:
             code = np.full((len(wide), n), k)
             for j in range(k):
                 code = code * BASE + wide[:, j : j + n]
-            out.append(np.where(wide[:, k - 1 :] > 0, code, 0))
-    return out
+            code[wide[:, k - 1 :] == 0] = 0
+            yield code
 
 
 def _gram_counts(sample: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def _taught(sample: DataFrame, telling: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
-            for p in vec.pieces(batch, "text", 1 << 20):
+            for p in vec.pieces(batch, "text", 1 << 18):
                 symbols, start, end, row = strings(p)
                 _, example, number = distinct(symbols, start, end)
                 pair = np.unique(number.astype(np.int64) * p.rows + row)
@@ -344,32 +344,29 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, left_out: int =
     often = runs.where("toxic + clean > 1").count()
     need = max(2, int(np.ceil(np.log(20 * max(often, 1)) / -np.log(n1 / (n1 + n0)))))
     telling = runs.where(f"toxic >= {need} and clean <= 0.03 * toxic").orderBy(F.desc("toxic"), "gram").limit(TELLING).select("gram")
-    strings_of = _taught(sample, np.array([r["gram"] for r in telling.collect()], np.int64)).persist()
-    try:
-        support = max(2, int(0.002 * n1))  # rarer strings hold a telling run by chance as well
-        found = strings_of.where(f"holds and toxic >= {support} and clean <= 0.03 * toxic").orderBy(
-            F.desc("toxic"), "string").limit(TAUGHT_POSITIVE).collect()
-        if not found:
-            found = strings_of.where("toxic > 1 and clean = 0").orderBy(F.desc("toxic"), "string").limit(20).collect()
-        positive, weight = [bytes(r["string"]) for r in found], [float(r["toxic"]) for r in found]
-        clean = strings_of.where("clean > 0 and clean > 0.03 * toxic")
-        negative = [bytes(r["string"]) for r in least_scrambled(clean, "string", TAUGHT_NEGATIVE // 2).collect()]
-        if not positive or not negative:
-            return nothing
-        machine = fit(positive, negative, weight)
-
-        def hard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = batch.column(0).to_pylist()
-                margin = [machine.margins(_matrix_of(found[k : k + 4096])) for k in range(0, len(found), 4096)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(margin or [np.zeros(0)]))], ["string", "margin"])
-
-        hardest = clean.select("string").mapInArrow(hard, "string binary, margin double").where(f"margin > {FLOOR}").orderBy(
-            F.desc("margin"), "string").limit(TAUGHT_NEGATIVE // 2)
-        negative = list(dict.fromkeys([bytes(r["string"]) for r in hardest.collect()] + negative))
-        machine = fit(positive, negative, weight)
-    finally:
-        strings_of.unpersist()
+    strings_of = settled(_taught(sample, np.array([r["gram"] for r in telling.collect()], np.int64)))
+    support = max(2, int(0.002 * n1))  # rarer strings hold a telling run by chance as well
+    found = strings_of.where(f"holds and toxic >= {support} and clean <= 0.03 * toxic").orderBy(
+        F.desc("toxic"), "string").limit(TAUGHT_POSITIVE).collect()
+    if not found:
+        found = strings_of.where("toxic > 1 and clean = 0").orderBy(F.desc("toxic"), "string").limit(20).collect()
+    positive, weight = [bytes(r["string"]) for r in found], [float(r["toxic"]) for r in found]
+    clean = strings_of.where("clean > 0 and clean > 0.03 * toxic")
+    negative = [bytes(r["string"]) for r in least_scrambled(clean, "string", TAUGHT_NEGATIVE // 2).collect()]
+    if not positive or not negative:
+        return nothing
+    machine = fit(positive, negative, weight)
+
+    def hard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(0).to_pylist()
+            margin = [machine.margins(_matrix_of(found[k : k + 4096])) for k in range(0, len(found), 4096)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(margin or [np.zeros(0)]))], ["string", "margin"])
+
+    hardest = clean.select("string").mapInArrow(hard, "string binary, margin double").where(f"margin > {FLOOR}").orderBy(
+        F.desc("margin"), "string").limit(TAUGHT_NEGATIVE // 2)
+    negative = list(dict.fromkeys([bytes(r["string"]) for r in hardest.collect()] + negative))
+    machine = fit(positive, negative, weight)
 
     def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
