@@ -308,8 +308,8 @@ def obligation_score(spark, sf):
 @register(with_expected("""
 SELECT doc_id, char_start, verb, CASE doc_id % 12 WHEN 0 THEN 'submit' WHEN 1 THEN 'upload' WHEN 2
   THEN 'furnish' WHEN 3 THEN 'collect' WHEN 4 THEN 'complete' WHEN 5 THEN 'apply' WHEN 6 THEN
-  CASE action_no WHEN 1 THEN 'obtain' ELSE 'send' END WHEN 7 THEN CASE action_no WHEN 1 THEN 'attach'
-  WHEN 2 THEN 'submit' ELSE 'include' END ELSE 'submit' END AS base
+  CASE action_no WHEN 1 THEN 'collect' ELSE 'send' END WHEN 7 THEN CASE action_no WHEN 1 THEN 'attach'
+  WHEN 2 THEN 'return' ELSE 'upload' END ELSE 'submit' END AS base
 FROM acts WHERE NOT (doc_id % 12 = 6 AND action_no IN (2, 3))"""))
 def governed_verb(spark, sf):
     found = A.governed_verbs(plain_notices(spark, sf), "s").df
@@ -386,7 +386,7 @@ _REQ_ROWS = (
 
 @register(with_expected(
     f"SELECT doc_id, requirement FROM ({_REQ_ROWS}) WHERE doc_id % 12 = 0 AND requirement <> "
-    "'Application form' UNION ALL SELECT doc_id, 'Caste certificate' FROM n WHERE tpl = 7"))
+    "'Application form' UNION ALL SELECT doc_id, 'Fee challan' FROM n WHERE tpl = 7"))
 def cued_requirements(spark, sf):
     """What follows "along with", "attach" and the like."""
     docs = A.governed_verbs(plain_notices(spark, sf), "s").df

@@ -15,6 +15,7 @@ from docplan.queries import expected as E
 from docplan.queries.expected import with_expected
 from docplan.queries.registry import register
 from docplan.sources.notices import SENTENCES, TODAY, long_date, notices
+from docplan.streaming import quota
 
 # --- workspace: events as a write log ---------------------------------------
 
@@ -308,7 +309,7 @@ def ablation(spark, sf):
 # --- usage ------------------------------------------------------------------
 
 
-@register("""
+_QUOTA_SQL = """
 WITH RECURSIVE e AS (SELECT user_id, event_id, ts, epoch(ts) AS t, row_number() OVER (
   PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 walk AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS taken, CAST(NULL AS BIGINT) AS event_id,
@@ -317,13 +318,39 @@ walk AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) A
     CASE WHEN len(still) < 3 THEN 0 ELSE CAST(trunc(28800 - (t - still[1])) AS INT) + 1 END
   FROM (SELECT e.*, list_filter(w.taken, lambda x: e.t - x <= 28800) AS still
     FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
-SELECT user_id, event_id, ts, accepted, retry_after FROM walk WHERE n > 0""")
+SELECT user_id, event_id, ts, accepted, retry_after FROM walk WHERE n > 0"""
+
+
+@register(_QUOTA_SQL)
 def quota_audit(spark, sf):
     """At most three events per user in eight hours."""
     events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "ts")
     return U.quota_audit(events, allowance=3, window_seconds=8 * 3600)
 
 
+@register(_QUOTA_SQL)
+def quota_audit_stream(spark, sf):
+    """The same decisions by keyed state over a stream of the events."""
+    path = f"{sf}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a file or a folder
+    return quota.audited(events, allowance=3, window_seconds=8 * 3600)
+
+
+@register("""
+WITH RECURSIVE e AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
+walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS TIMESTAMP[]) AS taken, CAST(NULL AS BIGINT) AS event_id,
+  CAST(NULL AS TIMESTAMP) AS ts, true AS accepted, 0 AS retry_after UNION ALL
+  SELECT n, CASE WHEN len(still) < 40 THEN list_append(still, ts) ELSE still END, event_id, ts, len(still) < 40,
+    CASE WHEN len(still) < 40 THEN 0 ELSE CAST((14400000000 - date_diff('microsecond', still[1], ts)) // 1000000 AS INT) + 1 END
+  FROM (SELECT e.*, list_filter(w.taken, lambda x: date_diff('microsecond', x, e.ts) <= 14400000000) AS still
+    FROM walk w JOIN e ON e.n = w.n + 1))
+SELECT event_id, ts, accepted, retry_after FROM walk WHERE n > 0""")
+def quota_audit_one_user(spark, sf):
+    """All events as those of one user who never rests: its run is cut into blocks of 500 events."""
+    events = spark.read.parquet(f"{sf}/events.parquet").selectExpr("0L as user_id", "event_id", "ts")
+    return U.quota_audit(events, allowance=40, window_seconds=4 * 3600, block_events=500).drop("user_id")
+
+
 @register("""
 SELECT count(*) AS requests, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS input_tokens,
   CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS cache_read_tokens,
