@@ -306,11 +306,16 @@ def with_actions(
     candidates: str = "candidates",
     temporal: str = "temporal",
     column: str = "actions",
+    own_deadlines: bool = False,
 ) -> DataFrame:
-    """Candidates as work items: ids in order, class, deadline, effort, dependencies."""
+    """Candidates as work items: ids in order, class, deadline, effort, dependencies.
+
+    With ``own_deadlines`` a candidate may bring its deadline.
+    """
 
     def deadline(ts: str) -> str:
-        return S.transform(candidates, lambda c: attached_deadline(c, ts))
+        found = lambda c: attached_deadline(c, ts)
+        return S.transform(candidates, (lambda c: f"coalesce({c}.deadline, {found(c)})") if own_deadlines else found)
 
     numbered = S.lam(
         lambda c, i: S.struct(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +19,7 @@ from docplan.operators.text import RAW_TOKEN, fold_characters, mask_breaks, norm
 # Thresholds of anchoring and of the verification built on it.
 KEEP_AT, VERBATIM_AT = 0.72, 0.92
 VERBATIM_SCORE, LOOSE_SCORE = 0.86, 0.55
-ANCHOR_TOKENS, WINDOW_SLACK = 4, 1.35
+WINDOW_SLACK = 1.35
 SPAN = "struct<char_start:int,char_end:int>"
 
 
@@ -26,7 +29,12 @@ def _raw_tokens(text: str) -> str:
 
 
 def source_span(text: str, start: str, end: str) -> str:
-    """Maps a span of the normalised text back to the source.
+    """Maps a span of the normalised text back to the source."""
+    return f"{source_spans(text, f'array(struct({start} as lo, {end} as hi))')}[0]"
+
+
+def source_spans(text: str, spans: str) -> str:
+    """Maps spans (lo, hi) of the normalised text back to the source; a null one stays null.
 
     The normalised text is the folded tokens joined by single spaces, so the
     token holding an offset is found by running lengths and the character
@@ -61,8 +69,11 @@ def source_span(text: str, start: str, end: str) -> str:
         visible,
         lambda ts: S.let(
             S.running_starts(S.transform(ts, lambda t: f"char_length({t}.folded) + 1")),
-            lambda st: S.struct(
-                char_start=locate(ts, st, start), char_end=f"{locate(ts, st, f'({end} - 1)')} + 1"
+            lambda st: S.transform(
+                spans,
+                lambda p: f"if({p}.lo IS NULL, cast(NULL as {SPAN}), " + S.struct(
+                    char_start=locate(ts, st, f"{p}.lo"), char_end=f"{locate(ts, st, f'({p}.hi - 1)')} + 1"
+                ) + ")",
             ),
         ),
     )
@@ -97,98 +108,116 @@ def _side_by_side(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     return needles.join(docs.selectExpr("doc_id", "text", f"{normalize('text')} as _hay"), "doc_id")
 
 
-def _similarity(threshold: float):
-    """Ratcliff-Obershelp similarity and the aligned part of the window, 0 if below the threshold."""
-    kinds = T.StructType().add("score", T.DoubleType()).add("lo", T.IntegerType()).add("hi", T.IntegerType())
-
-    @F.pandas_udf(kinds)
-    def compare(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        from difflib import SequenceMatcher
-
-        for quotes, windows in batches:
+def longest_run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Start in ``a``, start in ``b`` and length of the longest common run; the first one of equals."""
+    best, lengths = (0, 0, 0), np.zeros(len(b) + 1, np.int64)
+    for i, code in enumerate(a):
+        grown = np.zeros(len(b) + 1, np.int64)
+        grown[1:] = np.where(b == code, lengths[:-1] + 1, 0)
+        lengths = grown
+        j = int(lengths.argmax())
+        if lengths[j] > best[2]:
+            k = int(lengths[j])
+            best = (i + 1 - k, j - k, k)
+    return best
+
+
+def aligned_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Start in ``b`` and length of the common runs: the longest, then those before it and behind it."""
+    open_, out = [(0, len(a), 0, len(b))], []
+    while open_:
+        a0, a1, b0, b1 = open_.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        i, j, k = longest_run(a[a0:a1], b[b0:b1])
+        if k:
+            out.append((b0 + j, k))
+            open_ += [(a0, a0 + i, b0, b0 + j), (a0 + i + k, a1, b0 + j + k, b1)]
+    return sorted(out)
+
+
+_WORD = re.compile(r"\w+")
+
+
+def _places(needle: str, words: dict[str, list[int]]) -> list[int]:
+    """Starts that put a word of the quote where it stands in the text; those of the rarest words first."""
+    found = [(len(words[m.group()]), -len(m.group()), m.start(), m.group()) for m in _WORD.finditer(needle) if m.group() in words]
+    first = _WORD.search(needle)
+    starts = (max(0, at - (start - first.start())) for _, _, start, word in sorted(found) for at in words[word])
+    return list(dict.fromkeys(starts))
+
+
+class Source:
+    """A normalised text that quotes are looked up in: its characters and the places of its words."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        self.words: dict[str, list[int]] = {}
+        for m in _WORD.finditer(text):
+            self.words.setdefault(m.group(), []).append(m.start())
+
+    def find(self, needle: str, threshold: float) -> tuple[float, int, int] | None:
+        """Score and span of the best place of a normalised quote, exact ones first.
+
+        The similarity is twice the aligned characters over both lengths. No
+        window aligns more characters than both have in common, whatever their
+        order; that bound is computed for all windows at once from running
+        counts, and windows are aligned from the highest bound down until the
+        best similarity found excludes the rest.
+        """
+        if not needle:
+            return None
+        exact = self.text.find(needle)
+        if exact >= 0:
+            return 1.0, exact, exact + len(needle)
+        starts = np.array(_places(needle, self.words), np.int64)
+        if not len(starts):
+            return None
+        ends = np.minimum(starts + max(len(needle), int(len(needle) * WINDOW_SLACK)), len(self.codes))
+        wanted, often = np.unique(np.frombuffer(needle.encode("utf-32-le"), np.uint32), return_counts=True)
+        common = np.zeros(len(starts), np.int64)
+        for code, count in zip(wanted, often):
+            seen = np.concatenate([[0], np.cumsum(self.codes == code)])
+            common += np.minimum(seen[ends] - seen[starts], count)
+        bound = 2 * common / (len(needle) + ends - starts)
+        own, best = np.frombuffer(needle.encode("utf-32-le"), np.uint32), None
+        for k in np.argsort(-bound, kind="stable"):
+            if bound[k] < max(threshold, best[0] if best else 0):
+                break
+            blocks = aligned_blocks(own, self.codes[starts[k] : ends[k]])
+            score = 2 * sum(size for _, size in blocks) / (len(own) + int(ends[k] - starts[k]))
+            if blocks and score >= threshold and (best is None or (score, -k) > (best[0], -best[1])):
+                at = int(starts[k])
+                best = (score, int(k), at + blocks[0][0], at + blocks[-1][0] + blocks[-1][1])
+        return best and (best[0], best[2], best[3])
+
+
+def located(threshold: float = KEEP_AT):
+    """Arrow function of a normalised text and normalised quotes: score, lo and hi of each, null where not found."""
+    place = T.StructType().add("score", T.DoubleType()).add("lo", T.IntegerType()).add("hi", T.IntegerType())
+
+    @F.pandas_udf(T.ArrayType(place))
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, quotes in batches:
             rows = []
-            for quote, window in zip(quotes, windows, strict=True):
-                matcher = SequenceMatcher(None, quote, window, autojunk=False)
-                if matcher.quick_ratio() < threshold:
-                    rows.append((0.0, 0, 0))
-                    continue
-                blocks = [b for b in matcher.get_matching_blocks() if b.size]
-                score = matcher.ratio()
-                rows.append((score, blocks[0].b, blocks[-1].b + blocks[-1].size) if blocks else (0.0, 0, 0))
-            yield pd.DataFrame(rows, columns=["score", "lo", "hi"])
-
-    # nondeterministic, so that the filter on its score is not pushed below the
-    # projection, where every window would be compared a second time
-    return compare.asNondeterministic()
-
-
-def candidate_windows(quote: str, hay: str, places_each: int | None = None) -> str:
-    """Window starts to compare: around the quote's four rarest words in the source.
-
-    All places of those words, or the first ``places_each`` of each; a start
-    puts the word where it stands in the quote.
-    """
-    q_words, h_words = S.find_all(quote, r"(?U)\w+"), S.find_all(hay, r"(?U)\w+")
-
-    def build(qs: str, hs: str) -> str:
-        def places(q: str) -> str:
-            return S.keep(hs, lambda h: f"{h}.text = {q}.text")
-
-        ranked = S.transform(
-            qs,
-            lambda q: S.let(
-                S.transform(places(q), lambda h: f"{h}.char_start"),
-                lambda ps: f"struct(size({ps}) as n, -char_length({q}.text) as len, "
-                f"{q}.char_start as at, {ps} as places)",
-            ),
-        )
-        rarest = f"slice(array_sort({S.keep(ranked, lambda r: f'{r}.n > 0')}), 1, {ANCHOR_TOKENS})"
-        starts = S.transform(
-            rarest,
-            lambda r: S.transform(
-                f"slice({r}.places, 1, {places_each})" if places_each else f"{r}.places",
-                lambda p: f"greatest(0, {p} - ({r}.at - {qs}[0].char_start))",
-            ),
-        )
-        return f"array_distinct(flatten({starts}))"
+            for text, needles in zip(texts, quotes, strict=True):
+                source = Source(text) if text and needles is not None and len(needles) else None
+                found = [source.find(n, threshold) if source and n else None for n in (() if needles is None else needles)]
+                rows.append([f and dict(zip(("score", "lo", "hi"), f)) for f in found])
+            yield pd.Series(rows)
 
-    return S.let_all([q_words, h_words], build)
+    # nondeterministic, so that no filter on its result is pushed below the projection and evaluates it twice
+    return find.asNondeterministic()
 
 
-def anchor_fuzzy(
-    quotes: DataFrame, docs: DataFrame, threshold: float = KEEP_AT, places_each: int | None = None
-) -> DataFrame:
-    """Quotes that stand in their source approximately, with their best place.
-
-    Candidate windows are found natively; only their similarity is scored in
-    Arrow batches. The best window is kept by an aggregate, so no group is
-    ever collected.
-    """
-    width = f"greatest(char_length(_needle), cast(char_length(_needle) * {WINDOW_SLACK}D as int))"
-    windows = (
-        f"if(instr(_hay, _needle) > 0, {S.empty('int')}, {candidate_windows('_needle', '_hay', places_each)})"
-    )
-    placed = _side_by_side(quotes, docs).selectExpr(
-        "quote_id", "doc_id", "_needle", "_hay", f"posexplode_outer({windows}) as (_k, _start)"
-    )
-    scored = (
-        placed.where("_k IS NOT NULL")
-        .selectExpr("quote_id", "doc_id", "_k", "_start", "_needle",
-                    f"substring(_hay, _start + 1, {width}) as _window")
-        .withColumn("s", _similarity(threshold)("_needle", "_window"))
-        .where(f"s.score >= {threshold}D")
-    )
-    best = scored.groupBy("quote_id", "doc_id").agg(
-        F.max(F.struct("s.score", (-F.col("_k")).alias("k"),
-                       (F.col("_start") + F.col("s.lo")).alias("lo"),
-                       (F.col("_start") + F.col("s.hi")).alias("hi"))).alias("b")
-    )
-    placed = best.join(docs.select("doc_id", "text"), "doc_id")
-    span = source_span("text", "b.lo", "b.hi")
-    return placed.selectExpr("quote_id", "doc_id", "text", "b", f"{span} as p").selectExpr(
+def anchor_fuzzy(quotes: DataFrame, docs: DataFrame, threshold: float = KEEP_AT) -> DataFrame:
+    """Quotes that stand in their source only approximately, with their best place around any of their words."""
+    sides = _side_by_side(quotes, docs).withColumn("_p", located(threshold)("_hay", F.array("_needle"))[0])
+    loose = sides.where("_p.score IS NOT NULL AND instr(_hay, _needle) = 0")
+    return loose.selectExpr("quote_id", "doc_id", "text", "_p", f"{source_span('text', '_p.lo', '_p.hi')} as p").selectExpr(
         "quote_id", "doc_id", "p.char_start", "p.char_end",
-        "substring(text, p.char_start + 1, p.char_end - p.char_start) as matched",
-        "round(b.score, 4) as score",
+        "substring(text, p.char_start + 1, p.char_end - p.char_start) as matched", "round(_p.score, 4) as score",
     )
 
 
@@ -240,22 +269,65 @@ def hallucination_rate(verified: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def merge_arms(rules: str, proposals: str, span_type: str) -> str:
-    """Rule findings plus the proposals that overlap nothing merged so far.
+def kept_proposals(rules: np.ndarray, proposals: np.ndarray) -> np.ndarray:
+    """Which proposal spans overlap no rule span and no proposal kept before by half of the shorter one.
+
+    Spans are rows (start, end). Rule spans that reach a proposal lie between
+    two binary searches, over their starts and over the running maximum of
+    their ends. Kept proposals contain none of each other, so their starts and
+    ends rise together: those that reach a proposal are neighbours in a sorted
+    list, and one strictly between the outer two lies inside it.
+    """
+
+    def clash(a0: int, a1: int, b0: int, b1: int) -> bool:
+        shared, shorter = min(a1, b1) - max(a0, b0), min(a1 - a0, b1 - b0)
+        return shared > 0 and shorter > 0 and 2 * shared >= shorter
+
+    order = np.argsort(rules[:, 0], kind="stable")
+    starts, ends = rules[order, 0], rules[order, 1]
+    reach = np.maximum.accumulate(ends) if len(ends) else ends
+    first, last = np.searchsorted(reach, proposals[:, 0], "right"), np.searchsorted(starts, proposals[:, 1], "left")
+    left, right = [], []
+    out = np.zeros(len(proposals), bool)
+    for k, (lo, hi) in enumerate(proposals.tolist()):
+        s, e = starts[first[k] : last[k]], ends[first[k] : last[k]]
+        shared, shorter = np.minimum(e, hi) - np.maximum(s, lo), np.minimum(e - s, hi - lo)
+        if ((shared > 0) & (shorter > 0) & (2 * shared >= shorter)).any():
+            continue
+        begin, end = bisect.bisect_right(right, lo), bisect.bisect_left(left, hi)
+        if end - begin > 2 or any(clash(lo, hi, left[i], right[i]) for i in range(begin, end)):
+            continue
+        out[k] = True
+        if hi > lo:
+            at = bisect.bisect_left(left, lo)
+            left.insert(at, lo)
+            right.insert(at, hi)
+    return out
+
+
+def _survivors():
+    span = "array<struct<char_start:int,char_end:int>>"
+
+    @F.pandas_udf("array<boolean>")
+    def keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def spans(found) -> np.ndarray:
+            return np.array([(f["char_start"], f["char_end"]) for f in ([] if found is None else found)], np.int64).reshape(-1, 2)
+
+        for rules, proposals in batches:
+            yield pd.Series([kept_proposals(spans(r), spans(p)).tolist() for r, p in zip(rules, proposals, strict=True)])
+
+    return lambda xs: keep(*[F.expr(f"cast(transform({x}, x -> struct(x.char_start, x.char_end)) as {span})") for x in xs])
+
+
+def merge_arms(docs: DataFrame, rules: str, proposals: str, column: str, by_end: bool = True) -> DataFrame:
+    """Adds ``column``: the rule findings and the proposals that overlap nothing merged before, by place.
 
     Both are arrays of one document with equal fields; overlap is half of the
-    shorter span.
+    shorter span. Of findings at one place rules come first, then the order of the proposals.
     """
-    clash = lambda kept, p: S.any_of(
-        kept,
-        lambda k: S.overlaps(f"{p}.char_start", f"{p}.char_end", f"{k}.char_start",
-                             f"{k}.char_end", 0.5),
-    )
-    step = S.lam(lambda kept, p: f"if({clash(kept, p)}, {kept}, array_append({kept}, {p}))", 2)
-    order = S.lam(
-        lambda a, b: "CASE WHEN struct({a}.char_start, {a}.char_end) < struct({b}.char_start, "
-        "{b}.char_end) THEN -1 WHEN struct({a}.char_start, {a}.char_end) > "
-        "struct({b}.char_start, {b}.char_end) THEN 1 ELSE 0 END".format(a=a, b=b), 2,
-    )
-    merged = f"aggregate({proposals}, cast({rules} as array<{span_type}>), {step})"
-    return f"array_sort({merged}, {order})"
+    key = "struct(x.char_start, x.char_end, i)" if by_end else "struct(x.char_start, i)"
+    flagged = docs.withColumn("_survives", _survivors()([rules, proposals]))
+    both = f"concat({rules}, filter({proposals}, (x, i) -> _survives[i]))"
+    return flagged.selectExpr(
+        "*", f"transform(array_sort(transform({both}, (x, i) -> struct({key} as k, x as f))), x -> x.f) as {column}"
+    ).drop("_survives")

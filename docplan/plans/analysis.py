@@ -9,6 +9,7 @@ from docplan.operators.actions import with_actions, with_candidates
 from docplan.operators.classify import type_claim, with_type
 from docplan.operators.eligibility import assess, relevance_claim, with_criteria, with_findings
 from docplan.operators.gaps import with_gaps
+from docplan.operators.proposals import merged_candidates, merged_gaps, with_proposals
 from docplan.operators.requirements import grouped_requirements
 from docplan.operators.temporal import deadline_claims, primary_deadline, temporal_of
 from docplan.operators.text import title_claim_column
@@ -27,27 +28,42 @@ def with_dates(docs: DataFrame, today: str) -> DataFrame:
     )
 
 
-def with_requirements(docs: DataFrame) -> DataFrame:
+def with_requirements(docs: DataFrame, more: str | None = None) -> DataFrame:
     phrases = f"flatten({S.transform('actions', lambda a: f'{a}.requires')})"
+    if more:
+        phrases = f"concat({phrases}, {more})"
     return docs.selectExpr("*", f"{grouped_requirements(phrases)} as requirements")
 
 
-def with_plan(docs: DataFrame, today: str) -> DataFrame:
-    """Adds actions, their schedule and the grouped requirements."""
+def with_plan(docs: DataFrame, today: str, proposals: bool = False) -> DataFrame:
+    """Adds actions, their schedule and the grouped requirements; with ``proposals``, those of the proposals too."""
     if "completed" not in docs.columns:
         docs = docs.selectExpr("*", "cast(array() as array<string>) as completed")
-    planned = with_actions(with_candidates(docs)).drop("candidates")
-    return with_schedule(with_requirements(planned), today)
+    found = with_candidates(docs)
+    if proposals:
+        found = merged_candidates(found)
+    planned = with_actions(found, own_deadlines=proposals).drop("candidates")
+    return with_schedule(with_requirements(planned, "proposed_requirements" if proposals else None), today)
 
 
-def analyse(docs: DataFrame, today: str) -> DataFrame:
+def analyse(docs: DataFrame, today: str, proposals: str | None = None) -> DataFrame:
     """One wide row per document with every claim and finding.
 
+    ``proposals`` names a column of JSON responses (see ``operators.proposals``)
+    that are verified against the text and merged with the rules' findings;
+    ``verification`` then says how many there were and what became of them.
+
     ``docs``: doc_id, text, text_confidence, source_kind, and optionally
     ``completed`` (ids already done) and ``profile`` (the reader). Nothing is
     shuffled; the result is a view to be re-derived rather than stored.
     """
-    out = with_criteria(with_gaps(with_plan(with_dates(docs, today), today)))
+    dated = with_dates(docs, today)
+    if proposals:
+        dated = with_proposals(dated, proposals)
+    out = with_gaps(with_plan(dated, today, bool(proposals)))
+    if proposals:
+        out = merged_gaps(out).drop("proposed_actions", "proposed_requirements", "proposed_gaps")
+    out = with_criteria(out)
     out = with_type(out, "_type").selectExpr(
         "*",
         f"{type_claim('_type', 'text_confidence')} as document_type",

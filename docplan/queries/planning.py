@@ -10,12 +10,13 @@ from docplan.functions.rows import table_of
 from docplan.operators import outputs as O
 from docplan.operators import portfolio as Z
 from docplan.operators import revisions as V
+from docplan.operators.proposals import GAP_REASON
 from docplan.plans import schedule as P
 from docplan.plans.analysis import analyse, with_dates, with_plan
 from docplan.queries import expected as E
 from docplan.queries.expected import with_expected
 from docplan.queries.registry import register
-from docplan.sources.notices import REISSUED, TODAY, plain_notices, profiled_notices, spread
+from docplan.sources.notices import REISSUED, TODAY, long_date, notices, plain_notices, profiled_notices, spread
 
 # --- action graphs, one per order -------------------------------------------
 # Action i of order k: effort, deadline and prerequisites by arithmetic on k and i.
@@ -584,3 +585,44 @@ def analyse_documents(spark, sf):
         "doc_id", "document_type.value as document_type", "title.value as title",
         "size(deadlines) as deadlines", "size(schedule) as actions", "size(gaps) as gaps",
         "size(criteria) as criteria")
+
+
+#: Responses of a proposing arm by template: verbatim, overlapping, loose and invented quotes, a requirement,
+#: a response that is cut off, and one with a verb of no class.
+_RESPONSES = """CASE tpl
+ WHEN 0 THEN concat('{"actions":[{"instruction":"Note the date of issue","verb":"confirm","quote":"Dated ', ISSUED,
+   '.","deadline_id":"date-1"}]}')
+ WHEN 1 THEN '{"actions":[{"instruction":"Send it","verb":"submit","quote":"Candidates should upload the"}],"gaps":[{"question":"Which office issued this circular?","quote":"CIRCULAR"}]}'
+ WHEN 2 THEN '{"actions":[{"instruction":"Cut off'
+ WHEN 3 THEN '{"actions":[{"instruction":"Dance","verb":"dance","quote":"EXAMINATION NOTICE"}]}'
+ WHEN 8 THEN '{"actions":[{"instruction":"Watch for details","verb":"confirm","quote":"Details would be announced shortly","deadline_id":"date-9"}]}'
+ WHEN 9 THEN '{"requirements":[{"text":"Bond","quote":"Bring a signed bond of the zonal registrar within a fortnight"}]}'
+ WHEN 10 THEN CASE WHEN variant = 0 THEN '{"requirements":[{"text":"Hall photograph","quote":"The hall was built in 1920"}]}' END
+ END""".replace("ISSUED", long_date("issued"))
+
+
+def _hybrid(spark, sf):
+    docs = notices(spark, sf).selectExpr("doc_id", "text", "text_confidence", "source_kind", f"{_RESPONSES} as response")
+    return analyse(docs, TODAY, proposals="response")
+
+
+@register(with_expected("""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY char_start, arm, action_no) AS INT) AS action_no,
+  description, round(least(confidence, text_confidence), 4) AS score, deadline FROM (
+  SELECT doc_id, 0 AS arm, action_no, description, confidence, text_confidence, deadline, char_start FROM acts
+  UNION ALL SELECT doc_id, 1, 0, 'Note the date of issue', 0.86, text_confidence, issued, strpos(text, 'Dated') - 1 FROM n WHERE tpl = 0
+  UNION ALL SELECT doc_id, 1, 0, 'Watch for details', 0.55, text_confidence, NULL, strpos(text, 'Details will') - 1 FROM n WHERE tpl = 8)"""))
+def analyse_hybrid(spark, sf):
+    """Actions of the rules and of verified proposals, merged: the rules win where both found one."""
+    return table_of(_hybrid(spark, sf), "actions", "doc_id").select("doc_id", "action_no", "description", "score", "deadline")
+
+
+@register(with_expected("""
+SELECT doc_id, CASE tpl WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 8 THEN 1 WHEN 9 THEN 1 WHEN 10 THEN CAST(variant = 0 AS INT) ELSE 0 END AS proposed,
+  CAST(tpl = 9 AS INT) AS hallucinated, CAST(tpl = 8 AS INT) AS demoted, CAST(tpl = 9 AS INT)::DOUBLE AS rate,
+  CASE tpl WHEN 1 THEN 'Which office issued this circular?' ELSE '' END AS asked, tpl = 10 AND variant = 0 AS photograph FROM n"""))
+def hybrid_verification(spark, sf):
+    """What became of each notice's proposals, and the gap and requirement that they add."""
+    return _hybrid(spark, sf).selectExpr(
+        "doc_id", "verification.*", f"array_join(transform(filter(gaps, g -> g.why = {S.lit(GAP_REASON)}), g -> g.question), '|') as asked",
+        "exists(requirements, r -> r.text = 'Hall photograph') as photograph")

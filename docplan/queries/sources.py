@@ -259,10 +259,7 @@ def merge_arms(spark, sf):
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(
         "l_orderkey as doc_id", "l_partkey % 2 = 0 as rule", *_LINE_SPAN.split(", "))
     spans = lines.distinct()
-    span_type = "struct<char_start:int,char_end:int>"
     arms = spans.groupBy("doc_id").agg(
         F.expr("array_sort(collect_list(struct(char_start, char_end)) FILTER (WHERE rule))").alias("r"),
-        F.expr("array_sort(collect_list(struct(char_start, char_end)) FILTER (WHERE NOT rule))").alias(
-            "p"))
-    merged = arms.selectExpr("doc_id", f"{S.let_all(['r', 'p'], lambda r, p: M.merge_arms(r, p, span_type))} as m")
-    return table_of(merged, "m", "doc_id")
+        F.expr("array_sort(collect_list(struct(char_start, char_end)) FILTER (WHERE NOT rule))").alias("p"))
+    return table_of(M.merge_arms(arms, "r", "p", "m"), "m", "doc_id")
