@@ -103,9 +103,9 @@ _APPLY = f"CASE WHEN cust % 5 = 0 THEN {_S['apply_reversed']} ELSE {_S['apply']}
 #  restriction, optional, deadline)
 ACTIONS = (
     ("tpl = 0", 1, _S["along"],
-     f"concat('Submit the application form along with your ', art1, added, ' and ', art2, "
+     f"concat('Deposit the allotment form along with the ', art1, added, ' and ', art2, "
      f"' before ', {N.long_date('due')})", "submit", "0.94", MODAL,
-     f"concat('Application form|', {_cap('art1')}, CASE WHEN added = '' THEN '' ELSE "
+     f"concat('Allotment form|', {_cap('art1')}, CASE WHEN added = '' THEN '' ELSE "
      f"'|Bank statement' END, '|', {_cap('art2')})", _NO, "false", "due"),
     ("tpl = 1", 1, _S["upload"], f"concat('Upload the ', art1, ' by ', {N.day_month('due')})",
      "submit", "0.86", MODAL, _cap("art1"), _NO, "false", NEXT_DUE),

@@ -32,18 +32,16 @@ SELECT doc_id, sent_no - 1 AS sent_no, CAST(strpos(text, s) - 1 AS INT) AS char_
        CAST(strpos(text, s) - 1 + length(s) AS INT) AS char_end, s AS text
 FROM (SELECT doc_id, text, unnest(parts) AS s, generate_subscripts(parts, 1) AS sent_no
   FROM (SELECT doc_id, text, list_filter(string_split(
-          replace(text, '. ', concat('.', chr(10), chr(10))), concat(chr(10), chr(10))),
+          replace(replace(text, 'NO. ', 'NO.~'), '. ', concat('.', chr(10), chr(10))), concat(chr(10), chr(10))),
           lambda x: trim(x, concat(' ', chr(10))) <> '') AS raw,
-        list_transform(raw, lambda x: trim(x, concat(' ', chr(10)))) AS parts FROM n
-        WHERE tpl <> 0))
+        list_transform(raw, lambda x: replace(trim(x, concat(' ', chr(10))), 'NO.~', 'NO. ')) AS parts FROM n))
 """
 
 
-@register(with_expected(_SENTENCES.replace("WHERE tpl <> 0", "WHERE tpl NOT IN (0)")))
+@register(with_expected(_SENTENCES))
 def split_sentences(spark, sf):
-    """Sentences of every notice but the numbered ones, whose "NO. 12" is an abbreviation."""
-    docs = notices(spark, sf).where("tpl NOT IN (0)").select("doc_id", "text")
-    return X.split_sentences(docs)
+    """Sentences of every notice; the number after "NO." belongs to its heading."""
+    return X.split_sentences(notices(spark, sf).select("doc_id", "text"))
 
 
 @register()
@@ -306,7 +304,7 @@ def obligation_score(spark, sf):
 
 
 @register(with_expected("""
-SELECT doc_id, char_start, verb, CASE doc_id % 12 WHEN 0 THEN 'submit' WHEN 1 THEN 'upload' WHEN 2
+SELECT doc_id, char_start, verb, CASE doc_id % 12 WHEN 0 THEN 'deposit' WHEN 1 THEN 'upload' WHEN 2
   THEN 'furnish' WHEN 3 THEN 'collect' WHEN 4 THEN 'complete' WHEN 5 THEN 'apply' WHEN 6 THEN
   CASE action_no WHEN 1 THEN 'collect' ELSE 'send' END WHEN 7 THEN CASE action_no WHEN 1 THEN 'attach'
   WHEN 2 THEN 'return' ELSE 'upload' END ELSE 'submit' END AS base
@@ -386,7 +384,7 @@ _REQ_ROWS = (
 
 @register(with_expected(
     f"SELECT doc_id, requirement FROM ({_REQ_ROWS}) WHERE doc_id % 12 = 0 AND requirement <> "
-    "'Application form' UNION ALL SELECT doc_id, 'Fee challan' FROM n WHERE tpl = 7"))
+    "'Allotment form' UNION ALL SELECT doc_id, 'Fee challan' FROM n WHERE tpl = 7"))
 def cued_requirements(spark, sf):
     """What follows "along with", "attach" and the like."""
     docs = A.governed_verbs(plain_notices(spark, sf), "s").df

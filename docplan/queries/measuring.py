@@ -191,7 +191,7 @@ SELECT n.doc_id, CASE WHEN tpl = 0 THEN CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 2
 def match_requirements(spark, sf):
     """Two labelled requirements per numbered notice, one misnamed in every tenth."""
     gold = S.when(
-        ("tpl = 0", "array(named_struct('text', 'the application form', 'kind', 'document'), "
+        ("tpl = 0", "array(named_struct('text', 'the allotment form', 'kind', 'document'), "
          "named_struct('text', if(doc_id % 10 = 0, 'zonal bond', art1), 'kind', 'document'))"),
         otherwise=S.empty("struct<text:string,kind:string>"))
     docs = _labelled(spark, sf).selectExpr("doc_id", "requirements", f"{gold} as gold").selectExpr(

@@ -32,7 +32,7 @@ _ON_SECOND = "i > 2 AND (k + i) % 3 = 0"
 
 
 def graphs(spark, sf, cyclic: bool = False):
-    """``doc_id, actions, completed`` with dangling and self edges, some cyclic."""
+    """``doc_id, actions, completed`` with dangling and self edges, every eleventh one cyclic if asked."""
     orders = spread(
         spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderdate")
     )
@@ -42,11 +42,9 @@ def graphs(spark, sf, cyclic: bool = False):
         depends_on="array_compact(array("
         f"if({_ON_PREVIOUS}, concat('a', i - 1), NULL), if({_ON_SECOND}, concat('a', i - 2), NULL), "
         "if(i = 1 AND k % 5 = 0, 'zz', NULL), if(i = 2 AND k % 4 = 0, 'a2', NULL), "
-        "if(i = 1 AND k % 11 = 0, concat('a', n), NULL)))",
-    )
-    rows = orders.selectExpr("o_orderkey as k", "o_orderdate", f"{_N} as n").where(
-        "true" if cyclic else "k % 11 <> 0"
+        f"if({str(cyclic).lower()} AND i = 1 AND k % 11 = 0, concat('a', n), NULL)))",
     )
+    rows = orders.selectExpr("o_orderkey as k", "o_orderdate", f"{_N} as n")
     return rows.selectExpr(
         "k as doc_id", f"transform(sequence(1, n), i -> {action}) as actions",
         "if(k % 2 = 0, array('a1', 'a3'), array('a2')) as completed",
@@ -54,7 +52,7 @@ def graphs(spark, sf, cyclic: bool = False):
 
 
 _G = f"""
-orders_n AS (SELECT o_orderkey AS k, o_orderdate, {_N} AS n FROM orders WHERE o_orderkey % 11 <> 0),
+orders_n AS (SELECT o_orderkey AS k, o_orderdate, {_N} AS n FROM orders),
 g AS (SELECT k, k AS doc_id, n, i, concat('a', CAST(i AS STRING)) AS id, {_DEADLINE} AS deadline,
   {_EFFORT} AS effort, {_CLASS} AS classification,
   CASE WHEN k % 2 = 0 THEN i IN (1, 3) ELSE i = 2 END AS done
@@ -344,7 +342,8 @@ def _flip(spark, sf, column: str):
     docs = analyse(plain_notices(spark, sf), TODAY).select("doc_id", F.col(column).alias("found"))
     earlier = docs.where("doc_id % 24 < 12")
     later = docs.where("doc_id % 24 >= 12").selectExpr("doc_id - 12 as doc_id", "found as now")
-    return earlier.join(later, "doc_id")
+    both = earlier.join(later, "doc_id", "full_outer")
+    return both.selectExpr("doc_id", "coalesce(found, slice(now, 1, 0)) as found", "coalesce(now, slice(found, 1, 0)) as now")
 
 
 @register(with_expected("""
@@ -354,7 +353,7 @@ SELECT a.doc_id, CASE WHEN side = 1 THEN 'condition_added' ELSE 'condition_remov
     EXISTS (SELECT 1 FROM crit d WHERE d.doc_id = c.doc_id - 12 AND d.requirement = c.requirement)
   UNION ALL SELECT c.doc_id, 0, requirement FROM crit c WHERE c.doc_id % 24 < 12 AND NOT EXISTS
     (SELECT 1 FROM crit d WHERE d.doc_id = c.doc_id + 12 AND d.requirement = c.requirement)
-  ) a WHERE EXISTS (SELECT 1 FROM n WHERE n.doc_id = a.doc_id + 12)"""))
+  ) a"""))
 def condition_changes(spark, sf):
     """Conditions of a scholarship notice against the one twelve orders later."""
     pairs = _flip(spark, sf, "criteria").selectExpr(
@@ -370,7 +369,7 @@ SELECT a.doc_id, CASE WHEN side = 1 THEN 'gap_opened' ELSE 'gap_closed' END AS k
     EXISTS (SELECT 1 FROM gaps d WHERE d.doc_id = c.doc_id - 12 AND d.question = c.question)
   UNION ALL SELECT c.doc_id, 0, question FROM gaps c WHERE c.doc_id % 24 < 12 AND NOT EXISTS
     (SELECT 1 FROM gaps d WHERE d.doc_id = c.doc_id + 12 AND d.question = c.question)
-  ) a WHERE EXISTS (SELECT 1 FROM n WHERE n.doc_id = a.doc_id + 12)"""))
+  ) a"""))
 def gap_changes(spark, sf):
     pairs = _flip(spark, sf, "gaps").selectExpr(
         "doc_id", f"{S.let_all(['found', 'now'], V.gap_changes)} as c")

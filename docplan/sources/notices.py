@@ -85,7 +85,7 @@ REISSUED = {
 #: Sentences by name; the templates below put them together.
 SENTENCES = {
     "dated": f"concat('Dated ', {long_date('issued')}, '.')",
-    "along": "concat('All students must submit the application form along with their ', art1, "
+    "along": "concat('Every boarder has to deposit the allotment form along with the ', art1, "
              f"added, ' and ', art2, ' before ', {long_date('due')}, '.')",
     "upload": f"concat('Candidates should upload the ', art1, ' by ', {day_month('due')}, '.')",
     "furnish": "concat('Applicants are required to furnish the ', art1, ' not later than ', "

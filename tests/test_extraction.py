@@ -56,16 +56,16 @@ def test_actions(docs):
     body = (
         "All interns enrolled for the camp must be checked by Dr. Rao.\n\n"
         "Collect the income certificate, sign the hostel undertaking and deposit it at the counter. "
-        "Employees holding a lab key must submit the application form along with their "
-        "income certificate and a self-attested copy of previous marksheet by 20 September 2026."
+        "Guards holding a gate pass have to deposit the entry form along with the "
+        "income certificate and a notarised copy of the lease by 20 September 2026."
     )
     rows = table_of(actions.with_candidates(docs(body)), "candidates", "doc_id").collect()
     assert [(r.description, r.verb, r.optional) for r in rows][:4] == [
         ("Check all interns enrolled for the camp by Dr. Rao", "confirm", False),
         ("Collect the income certificate", "obtain", True),
         ("Sign the hostel undertaking", "prepare", True), ("Deposit it", "submit", True)]
-    assert rows[4].conditional_on == "for holding a lab key"
-    assert rows[4].requires[:2] == ["Application form", "Income certificate"]
+    assert rows[4].conditional_on == "for holding a gate pass"
+    assert rows[4].requires[:2] == ["Entry form", "Income certificate"]
 
 
 def test_gaps_and_criteria(docs):

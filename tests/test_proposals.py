@@ -36,17 +36,16 @@ def test_fates_of_proposals(spark):
     assert [g.question for g in row.gaps] == ["Which lawn is it?"] and "Sun hat" in [r.text for r in row.requirements]
 
 
-@pytest.mark.parametrize("response", [None, "", "not json", '{"actions": [', '{"actions": [{"verb": "dance", "quote": "Bring a hat", "instruction": "x"}]}',
-                                      '{"actions": [{"verb": null, "quote": null}]}', "{}", '{"actions": null}'])
-def test_a_response_that_says_nothing_leaves_the_rules(spark, response):
-    row = analysed(spark, response).first()
-    assert row.verification.proposed == 0 and len(row.actions) == 1
-
-
-def test_texts_without_words(spark):
-    for text in (None, "", " \n"):
-        row = analysed(spark, '{"gaps": [{"question": "q", "quote": "z"}, {"question": "q", "quote": ""}]}', text=text).first()
-        assert row.verification.hallucinated == 2 and row.actions == []
+def test_responses_and_texts_that_say_nothing(spark):
+    silent = [None, "", "not json", '{"actions": [', '{"actions": [{"verb": "dance", "quote": "Bring a hat", "instruction": "x"}]}',
+              '{"actions": [{"verb": null, "quote": null}]}', "{}", '{"actions": null}']
+    asks = '{"gaps": [{"question": "q", "quote": "z"}, {"question": "q", "quote": ""}]}'
+    rows = [(TEXT, r) for r in silent] + [(t, asks) for t in (None, "", " \n")]
+    docs = spark.createDataFrame([(k, t, r) for k, (t, r) in enumerate(rows)], "doc_id int, text string, response string")
+    out = analyse(docs.selectExpr("*", "0.9D as text_confidence", "'plain_text' as source_kind"), "date'1998-01-01'", proposals="response")
+    for r in out.select("doc_id", "verification", "actions").collect():
+        told = r.verification.asDict()
+        assert (told["proposed"], told["hallucinated"], len(r.actions)) == ((0, 0, 1) if r.doc_id < len(silent) else (2, 2, 0))
 
 
 def test_alignment_equals_the_library_on_small_strings():
