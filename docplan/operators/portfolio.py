@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from docplan.functions import lexicon as L
 from docplan.functions import spans as S
 from docplan.functions.rows import table_of
+from docplan.functions.storage import settled
 
 MIN_DOCUMENTS = 2
 COMPARABLE = ("year", "score", "cgpa", "age", "category")
-POSITION_TYPE = "struct<doc_id:string,name:string,value:string>"
+#: Documents of one word that a block of the index holds.
+BLOCK = 4096
 
 
 def portfolio_sizes(members: DataFrame, max_documents: int | None = None) -> DataFrame:
@@ -51,27 +53,53 @@ def comparable(criteria: str) -> str:
     return S.first_per_key(usable, lambda c: f"{c}.attribute")
 
 
-def portfolio_rows(members: DataFrame, analysed: DataFrame) -> DataFrame:
-    """One row per valid portfolio with its documents' compact findings, in order."""
-    compact = analysed.selectExpr(
+def compact(analysed: DataFrame, *more: str) -> DataFrame:
+    """What the comparisons need of each analysed document, and the columns asked for."""
+    return analysed.selectExpr(
         "doc_id",
         f"{subject('title', 'requirements', 'schedule')} as subject",
         "primary_deadline.value as due",
-        f"{comparable('criteria')} as criteria",
-    )
-    listed = F.struct("pos", "doc_id", "name", "subject", "due", "criteria")
-    return (
-        valid_portfolios(members).join(compact, "doc_id")
-        .groupBy("portfolio_id").agg(F.array_sort(F.collect_list(listed)).alias("docs"))
+        f"{comparable('criteria')} as criteria", *more,
     )
 
 
-def _pairs(docs: str, build) -> str:
-    """``build(left, right)`` over the document pairs of a portfolio."""
-    rest = S.lam(
-        lambda l, i: S.transform(f"slice({docs}, {i} + 2, size({docs}))", lambda r: build(l, r)), 2
-    )
-    return f"flatten(transform({docs}, {rest}))"
+def portfolio_rows(members: DataFrame, analysed: DataFrame) -> DataFrame:
+    """Each document of a valid portfolio with its compact findings, written once: comparisons read it often."""
+    found = analysed if "subject" in analysed.columns else compact(analysed)
+    return settled(valid_portfolios(members).join(found, "doc_id").select(
+        "portfolio_id", "pos", "doc_id", "name", "subject", "due", "criteria"
+    ))
+
+
+def related_pairs(portfolios: DataFrame, at_least: float = 0.0) -> DataFrame:
+    """Documents of a portfolio that share subject words, ``l`` before ``r``, with their overlap.
+
+    The overlap is the shared part of the smaller subject. Pairs come from an
+    index of words, so documents without a common word never meet. A pair at
+    ``at_least`` shares that part of the smaller subject, so it also shares one
+    of the smaller one's rarest words if only its most common ones, fewer than
+    that part, are left out; those are not looked up. A word of very many
+    documents is looked up in blocks of them.
+    """
+    key, portfolios = ["portfolio_id", "at"], portfolios.withColumn("at", F.struct("pos", "doc_id"))
+    words = portfolios.select(*key, F.size("subject").alias("n"), F.explode("subject").alias("word"))
+    counts = words.groupBy("portfolio_id", "word").agg(F.count("*").alias("f"))
+    rarest = W.partitionBy(*key).orderBy("f", "word")  # the words of one document
+    ranked = words.join(counts, ["portfolio_id", "word"]).withColumn("rank", F.row_number().over(rarest)).where("f > 1")
+    blocks = F.expr(f"1 + f div {BLOCK}")
+    needed = f"greatest(1, cast(ceil({at_least}D * n - 1e-9) as int))"
+    probes = ranked.where(f"rank <= n - {needed} + 1").select(
+        "portfolio_id", "word", F.col("at").alias("at_s"), F.col("n").alias("n_s"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"))
+    index = ranked.select("portfolio_id", "word", "at", "n", F.pmod(F.xxhash64("at"), blocks).alias("block"))
+    met = probes.join(index, ["portfolio_id", "word", "block"]).where("n_s < n OR n_s = n AND at_s < at")
+    pairs = met.select(
+        "portfolio_id", F.least("at_s", "at").alias("at_l"), F.greatest("at_s", "at").alias("at_r")).distinct()
+    side = lambda end: portfolios.select(
+        "portfolio_id", F.col("at").alias(f"at_{end}"), F.struct("doc_id", "name", "subject", "due", "criteria").alias(end))
+    both = pairs.join(side("l"), ["portfolio_id", "at_l"]).join(side("r"), ["portfolio_id", "at_r"])
+    return both.withColumn("related", F.expr(overlap_coefficient("l.subject", "r.subject"))).where(
+        f"related > 0 AND related >= {at_least}D").select("portfolio_id", "l", "r", "related")
 
 
 def overlap_coefficient(a: str, b: str) -> str:
@@ -81,64 +109,45 @@ def overlap_coefficient(a: str, b: str) -> str:
 
 
 def subject_overlap(portfolios: DataFrame) -> DataFrame:
-    pairs = _pairs("docs", lambda l, r: S.struct(
-        left_id=f"{l}.doc_id", right_id=f"{r}.doc_id",
-        relatedness=f"round({overlap_coefficient(f'{l}.subject', f'{r}.subject')}, 3)",
-        same_subject=f"{overlap_coefficient(f'{l}.subject', f'{r}.subject')} >= "
-        f"{S.lit(L.SAME_SUBJECT_AT)}",
-    ))
-    return portfolios.selectExpr("portfolio_id", f"inline({pairs})")
+    """Overlap of all pairs that share a word; all others have none."""
+    return related_pairs(portfolios).selectExpr(
+        "portfolio_id", "l.doc_id as left_id", "r.doc_id as right_id", "round(related, 3) as relatedness",
+        f"related >= {S.lit(L.SAME_SUBJECT_AT)} as same_subject",
+    )
+
+
+# What a reader is told about a disagreement.
+DUE_SUMMARY = "Two documents about the same process state different deadlines: "
+DUE_ADVICE = ("Work to ", " until the issuing office confirms which is current. The earlier date is the only one "
+              "that cannot cost you the opportunity if it turns out to be the right one.")
+BAR_SUMMARY = "The two documents set different eligibility on "
+BAR_ADVICE = ("Assume the stricter of the two until the issuing office says otherwise, and ask which document "
+              "supersedes the other.")
 
 
 def deadline_conflicts(portfolios: DataFrame) -> DataFrame:
     """Different primary deadlines in documents about the same subject."""
-
-    def conflict(l: str, r: str) -> str:
-        related = overlap_coefficient(f"{l}.subject", f"{r}.subject")
-        first = f"({l}.due < {r}.due)"
-        early, late = f"least({l}.due, {r}.due)", f"greatest({l}.due, {r}.due)"
-        early_name = f"if({first}, {l}.name, {r}.name)"
-        late_name = f"if({first}, {r}.name, {l}.name)"
-        return S.struct(
-            clash=f"coalesce({l}.due != {r}.due, false) AND {related} >= {S.lit(L.SAME_SUBJECT_AT)}",
-            left_id=f"{l}.doc_id", right_id=f"{r}.doc_id", left_due=f"{l}.due",
-            right_due=f"{r}.due", relatedness=f"round({related}, 3)",
-            summary="concat('Two documents about the same process state different deadlines: ', "
-            f"{S.human_date(early)}, ' in ', {early_name}, ', ', {S.human_date(late)}, ' in ', "
-            f"{late_name}, '.')",
-            resolution=f"concat('Work to ', {S.human_date(early)}, ' until the issuing office "
-            "confirms which is current. The earlier date is the only one that cannot cost you "
-            "the opportunity if it turns out to be the right one.')",
-        )
-
-    pairs = S.keep(_pairs("docs", conflict), lambda c: f"{c}.clash")
-    return table_of(portfolios, pairs, "portfolio_id").drop("clash")
+    early, late = "least(l.due, r.due)", "greatest(l.due, r.due)"
+    return related_pairs(portfolios, L.SAME_SUBJECT_AT).where("l.due != r.due").selectExpr(
+        "portfolio_id", "l.doc_id as left_id", "r.doc_id as right_id", "l.due as left_due", "r.due as right_due",
+        "round(related, 3) as relatedness",
+        f"concat({S.lit(DUE_SUMMARY)}, {S.human_date(early)}, ' in ', if(l.due < r.due, l.name, r.name), ', ', "
+        f"{S.human_date(late)}, ' in ', if(l.due < r.due, r.name, l.name), '.') as summary",
+        f"concat({S.lit(DUE_ADVICE[0])}, {S.human_date(early)}, {S.lit(DUE_ADVICE[1])}) as resolution",
+    )
 
 
 def eligibility_conflicts(portfolios: DataFrame) -> DataFrame:
     """Different bars on one attribute in documents about the same subject."""
-
-    def conflicts(l: str, r: str) -> str:
-        related = overlap_coefficient(f"{l}.subject", f"{r}.subject")
-
-        def against(c: str) -> str:
-            other = f"try_element_at({S.keep(f'{r}.criteria', lambda o: f'{o}.attribute = {c}.attribute')}, 1)"
-            return S.let(other, lambda o: S.struct(
-                clash=f"{o} IS NOT NULL AND {related} >= {S.lit(L.SAME_SUBJECT_AT)} AND NOT "
-                f"({c}.num_value <=> {o}.num_value AND {c}.accepted <=> {o}.accepted AND "
-                f"{c}.comparator = {o}.comparator)",
-                left_id=f"{l}.doc_id", right_id=f"{r}.doc_id", attribute=f"{c}.attribute",
-                left_requirement=f"{c}.requirement", right_requirement=f"{o}.requirement",
-                relatedness=f"round({related}, 3)",
-                summary=f"concat('The two documents set different eligibility on ', {c}.attribute,"
-                f" ': ', {c}.requirement, ' in ', {l}.name, ', ', {o}.requirement, ' in ', "
-                f"{r}.name, '.')",
-            ))
-
-        return S.transform(f"{l}.criteria", against)
-
-    pairs = S.keep(f"flatten({_pairs('docs', conflicts)})", lambda c: f"{c}.clash")
-    return table_of(portfolios, pairs, "portfolio_id").drop("clash")
+    both = related_pairs(portfolios, L.SAME_SUBJECT_AT).selectExpr("*", "explode(l.criteria) as c").selectExpr(
+        "*", "try_element_at(filter(r.criteria, o -> o.attribute = c.attribute), 1) as o")
+    differ = "NOT (c.num_value <=> o.num_value AND c.accepted <=> o.accepted AND c.comparator = o.comparator)"
+    return both.where(f"o IS NOT NULL AND {differ}").selectExpr(
+        "portfolio_id", "l.doc_id as left_id", "r.doc_id as right_id", "c.attribute",
+        "c.requirement as left_requirement", "o.requirement as right_requirement", "round(related, 3) as relatedness",
+        f"concat({S.lit(BAR_SUMMARY)}, c.attribute, ': ', c.requirement, ' in ', l.name, ', ', o.requirement, ' in ', "
+        "r.name, '.') as summary", f"{S.lit(BAR_ADVICE)} as resolution",
+    )
 
 
 def portfolio_steps(members: DataFrame, analysed: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docplan.functions import lexicon as L
 from docplan.functions import spans as S
 from docplan.functions.rows import table_of
+from docplan.functions.storage import settled
 from docplan.operators import outputs as O
 from docplan.operators import portfolio as Z
 from docplan.operators import revisions as V
@@ -423,7 +424,7 @@ def _pairs_sql(body: str) -> str:
 
 @register(_pairs_sql("""
 SELECT portfolio_id, left_id, right_id, round(rel, 3) AS relatedness, rel >= 0.25 AS same_subject
-FROM pairs"""))
+FROM pairs WHERE rel > 0"""))
 def subject_overlap(spark, sf):
     return Z.subject_overlap(_portfolios(spark, sf))
 
@@ -433,26 +434,28 @@ SELECT portfolio_id, left_id, right_id, left_due, right_due, round(rel, 3) AS re
   concat('Two documents about the same process state different deadlines: ', strftime(least(left_due,
   right_due), '%d %B %Y'), ' in notice ', CASE WHEN left_due < right_due THEN left_id ELSE right_id END,
   ', ', strftime(greatest(left_due, right_due), '%d %B %Y'), ' in notice ', CASE WHEN left_due <
-  right_due THEN right_id ELSE left_id END, '.') AS summary
+  right_due THEN right_id ELSE left_id END, '.') AS summary,
+  concat('Work to ', strftime(least(left_due, right_due), '%d %B %Y'), ' until the issuing office confirms which is current. The earlier date is the only one that cannot cost you the opportunity if it turns out to be the right one.') AS resolution
 FROM pairs WHERE left_due <> right_due AND rel >= 0.25"""
 
 
 @register(_pairs_sql(_DUE_CONFLICT))
 def deadline_conflicts(spark, sf):
-    return Z.deadline_conflicts(_portfolios(spark, sf)).drop("resolution")
+    return Z.deadline_conflicts(_portfolios(spark, sf))
 
 
 @register(_pairs_sql("""
 SELECT l.doc_id // 24 AS portfolio_id, l.doc_id AS left_id, r.doc_id AS right_id, l.attribute,
-  l.requirement AS left_requirement, r.requirement AS right_requirement
+  l.requirement AS left_requirement, r.requirement AS right_requirement,
+  'Assume the stricter of the two until the issuing office says otherwise, and ask which document supersedes the other.' AS resolution
 FROM crit l JOIN crit r ON l.doc_id // 24 = r.doc_id // 24 AND l.doc_id < r.doc_id AND l.attribute =
   r.attribute WHERE l.attribute IN ('year', 'score', 'cgpa', 'age', 'category') AND l.requirement <>
   r.requirement"""))
 def eligibility_conflicts(spark, sf):
-    """Scholarship notices twelve orders apart that set different bars."""
-    scholarships = _members(spark, sf).where("doc_id % 12 = 9").withColumn(
-        "portfolio_id", F.expr("doc_id div 24"))
-    docs = Z.portfolio_rows(scholarships, analyse(plain_notices(spark, sf), TODAY))
+    """Notices of 24 neighbouring orders; those about scholarships set different bars."""
+    members = _members(spark, sf).withColumn("portfolio_id", F.expr("doc_id div 24")).withColumn(
+        "pos", F.expr("cast(doc_id % 24 as int)"))
+    docs = Z.portfolio_rows(members, Z.compact(analyse(plain_notices(spark, sf), TODAY)))
     return Z.eligibility_conflicts(docs).drop("relatedness", "summary")
 
 
@@ -493,12 +496,12 @@ SELECT s.portfolio_id, next_due, next_stated_deadline, d.portfolio_id IS NULL AS
   FROM ({_STEP_ROWS}) GROUP BY 1) x ON x.portfolio_id = p.portfolio_id) s LEFT JOIN (SELECT DISTINCT portfolio_id FROM ({_DUE_CONFLICT})) d
  ON d.portfolio_id = s.portfolio_id"""))
 def portfolio_summary(spark, sf):
-    analysed = analyse(plain_notices(spark, sf), TODAY)
-    members = _members(spark, sf)
-    found = Z.portfolio_rows(members, analysed)
+    analysed, members = analyse(plain_notices(spark, sf), TODAY), _members(spark, sf)
+    once = settled(Z.compact(analysed, "schedule"))  # the notices are analysed once
+    found = Z.portfolio_rows(members, once)
     conflicts = Z.deadline_conflicts(found).select("portfolio_id").unionByName(
         Z.eligibility_conflicts(found).select("portfolio_id"))
-    return Z.portfolio_summary(members, Z.portfolio_steps(members, analysed), conflicts)
+    return Z.portfolio_summary(members, Z.portfolio_steps(members, once), conflicts)
 
 
 # --- outputs ----------------------------------------------------------------

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from docplan.functions import spans as S
 from docplan.functions.rows import table_of
+import random
+
 from docplan.operators import actions, classify, portfolio, temporal, text, workspace
 from docplan.plans.analysis import analyse
 from docplan.sources import ingest
@@ -84,3 +86,22 @@ def test_portfolios_without_steps_and_of_many_documents(docs, spark):
     sizes = {r.portfolio_id: r.refusal for r in portfolio.portfolio_sizes(members, 12).collect()}
     assert sizes == {1: None, 2: "too many documents", 3: "too few documents"}
     assert portfolio.valid_portfolios(members, 12).select(F.count_distinct("portfolio_id")).first()[0] == 1
+
+
+def test_pairs_of_a_portfolio_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(portfolio, "BLOCK", 3)
+    rng = random.Random(8)
+    words = [f"word{k}" for k in range(14)]
+    rows = [(p, k, k, f"d{k}", sorted(rng.sample(words, rng.randrange(9))), None, []) for p in (1, 2) for k in range(25)]
+    rows += [(1, 30, 30, "same", words, None, []), (1, 31, 31, "same", words, None, [])]
+    kinds = "portfolio_id int, pos int, doc_id int, name string, subject array<string>, due date, criteria array<struct<attribute:string>>"
+    docs = spark.createDataFrame(rows, kinds)
+    for least in (0.0, 0.25, 0.6, 1.0):
+        want = set()
+        for a in rows:
+            for b in rows:
+                both = len(set(a[4]) & set(b[4]))
+                if a[0] == b[0] and a[1] < b[1] and both and both / min(len(a[4]), len(b[4])) >= least:
+                    want.add((a[0], a[2], b[2], round(both / min(len(a[4]), len(b[4])), 6)))
+        got = portfolio.related_pairs(docs, least).collect()
+        assert len(got) == len(want) and {(r.portfolio_id, r.l.doc_id, r.r.doc_id, round(r.related, 6)) for r in got} == want
