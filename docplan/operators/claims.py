@@ -50,10 +50,19 @@ VIOLATIONS = {
 }
 
 
-def audit_claims(claims: DataFrame) -> DataFrame:
-    """One row per broken rule; sound operators produce none."""
-    broken = S.array(f"if({rule}, '{name}', NULL)" for name, rule in VIOLATIONS.items())
-    return claims.selectExpr("doc_id", f"explode(array_compact({broken})) as violation")
+#: For claims with the page bounds of their document: evidence has a page, and begins on it.
+PAGE_VIOLATIONS = {
+    "no_page": "evidence IS NOT NULL AND page IS NULL",
+    "wrong_page": "page IS NOT NULL AND size(pages) > 0 AND NOT exists(pages, p -> p.page = page AND p.char_start <= char_start "
+    "AND NOT exists(pages, q -> q.char_start > p.char_start AND q.char_start <= char_start))",
+}
+
+
+def audit_claims(claims: DataFrame, *keys: str) -> DataFrame:
+    """One row per broken rule; sound operators produce none. ``keys`` are kept beside the document's id."""
+    rules = VIOLATIONS | (PAGE_VIOLATIONS if {"page", "pages"} <= set(claims.columns) else {})
+    broken = S.array(f"if({rule}, '{name}', NULL)" for name, rule in rules.items())
+    return claims.selectExpr("doc_id", *keys, f"explode(array_compact({broken})) as violation")
 
 
 def actionable(claims: DataFrame) -> DataFrame:

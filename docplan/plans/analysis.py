@@ -9,6 +9,7 @@ from docplan.operators.actions import with_actions, with_candidates
 from docplan.operators.classify import type_claim, with_type
 from docplan.operators.eligibility import assess, relevance_claim, with_criteria, with_findings
 from docplan.operators.gaps import with_gaps
+from docplan.operators.pages import with_pages
 from docplan.operators.proposals import merged_candidates, merged_gaps, with_proposals
 from docplan.operators.requirements import grouped_requirements
 from docplan.operators.temporal import deadline_claims, primary_deadline, temporal_of
@@ -54,7 +55,8 @@ def analyse(docs: DataFrame, today: str, proposals: str | None = None) -> DataFr
     ``verification`` then says how many there were and what became of them.
 
     ``docs``: doc_id, text, text_confidence, source_kind, and optionally
-    ``completed`` (ids already done) and ``profile`` (the reader). Nothing is
+    ``completed`` (ids already done), ``profile`` (the reader) and ``pages`` (bounds
+    of the pages, as assembled; every finding then has its page). Nothing is
     shuffled; the result is a view to be re-derived rather than stored.
     """
     dated = with_dates(docs, today)
@@ -75,4 +77,4 @@ def analyse(docs: DataFrame, today: str, proposals: str | None = None) -> DataFr
         out = with_findings(out).selectExpr("*", f"{assess('findings')} as assessment")
         claim = relevance_claim("findings", "assessment", "text_confidence", "source_kind")
         out = out.selectExpr("*", f"{claim} as relevance")
-    return out
+    return with_pages(out) if "pages" in docs.columns else out

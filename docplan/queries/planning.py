@@ -9,6 +9,7 @@ from docplan.functions import spans as S
 from docplan.functions.rows import table_of
 from docplan.functions.storage import settled
 from docplan.operators import outputs as O
+from docplan.operators import pages as Pages
 from docplan.operators import portfolio as Z
 from docplan.operators import revisions as V
 from docplan.operators.proposals import GAP_REASON
@@ -628,3 +629,35 @@ def hybrid_verification(spark, sf):
     return _hybrid(spark, sf).selectExpr(
         "doc_id", "verification.*", f"array_join(transform(filter(gaps, g -> g.why = {S.lit(GAP_REASON)}), g -> g.question), '|') as asked",
         "exists(requirements, r -> r.text = 'Hall photograph') as photograph")
+
+
+def _paged(spark, sf):
+    """Notices whose heading is one page and whose body another."""
+    break_at = "cast(instr(text, concat(chr(10), chr(10))) as int)"
+    docs = plain_notices(spark, sf).selectExpr(
+        "*", f"array(named_struct('page', 1, 'char_start', 0, 'char_end', {break_at} - 1), "
+        f"named_struct('page', 2, 'char_start', {break_at} + 1, 'char_end', char_length(text))) as pages")
+    return analyse(docs, TODAY)
+
+
+_SPAN_ROWS = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, char_start, char_end FROM {rows}" for kind, rows in (
+        ("deadlines", "claims"), ("actions", "acts"), ("criteria", "crit"),
+        ("gaps", "(SELECT doc_id, question, min(char_start) AS char_start, min(char_end) AS char_end FROM gaps GROUP BY doc_id, question)")))
+
+
+@register(with_expected(f"""
+SELECT doc_id, kind, char_start, char_end, CASE WHEN char_start <= strpos(text, concat(chr(10), chr(10))) THEN 1 ELSE 2 END AS page
+FROM ({_SPAN_ROWS}) JOIN n USING (doc_id)"""))
+def evidence_pages(spark, sf):
+    """The page of every deadline, action, gap and condition."""
+    return Pages.evidence_pages(_paged(spark, sf))
+
+
+@register(with_expected("""
+SELECT 'deadlines' AS kind, count(*) AS claims, 0 AS violations FROM claims UNION ALL
+SELECT 'actions', count(*), 0 FROM acts UNION ALL SELECT 'document_type', count(*), 0 FROM n UNION ALL
+SELECT 'title', count(*), 0 FROM n"""))
+def audit_all_claims(spark, sf):
+    """The rules of claims, the page among them, over all claims of the notices."""
+    return Pages.audit_all_claims(_paged(spark, sf)).selectExpr("kind", "claims", "cast(violations as int) as violations")
