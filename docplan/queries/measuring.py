@@ -232,14 +232,16 @@ def precision_recall(spark, sf):
 
 
 @register(with_expected(f"""
-SELECT coalesce(stage, '(all)') AS stage, tag, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fn) AS BIGINT) AS
-  fn FROM (SELECT 'dates' AS stage, unnest([concat('t', tpl), CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE
-  'odd' END]) AS tag, tp, fn FROM ({_DATE_TALLY})) GROUP BY GROUPING SETS ((stage, tag), (tag))"""))
+SELECT CASE WHEN grouping(stage) = 1 THEN '(all)' ELSE stage END AS stage, tag, CAST(sum(tp) AS BIGINT) AS tp,
+  CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM (SELECT CASE doc_id % 3 WHEN 0 THEN 'early'
+  WHEN 1 THEN 'late' END AS stage, unnest(['(all)', concat('t', tpl), CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE
+  'odd' END]) AS tag, tp, fp, fn FROM ({_DATE_TALLY})) GROUP BY GROUPING SETS ((stage, tag), (tag))"""))
 def stage_and_tag_totals(spark, sf):
+    """Two stages and notices of none, each with two tags."""
     tagged = _date_tallies(spark, sf).selectExpr(
-        "'dates' as stage", "array(concat('t', tpl), if(doc_id % 2 = 0, 'even', 'odd')) as tags",
-        "tp", "fp", "fn")
-    return Q.stage_and_tag_totals(tagged).drop("fp")
+        "CASE doc_id % 3 WHEN 0 THEN 'early' WHEN 1 THEN 'late' END as stage",
+        "array(concat('t', tpl), if(doc_id % 2 = 0, 'even', 'odd')) as tags", "tp", "fp", "fn")
+    return Q.stage_and_tag_totals(tagged)
 
 
 @register(with_expected("""
