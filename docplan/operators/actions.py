@@ -100,7 +100,7 @@ def as_instruction(sentence: str, base: str) -> str:
 
 
 def restriction(sentence: str) -> str:
-    """The wording that limits who an instruction applies to, or null."""
+    """Whom a sentence is meant for, in its own words; null where it names nobody in particular."""
     leading = (
         f"concat(lower({S.group(sentence, L.CONDITION_CLAUSE, 1)}), ' ', "
         f"{S.strip(S.group(sentence, L.CONDITION_CLAUSE, 2))})"

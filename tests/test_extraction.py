@@ -56,7 +56,7 @@ def test_actions(docs):
     body = (
         "All interns enrolled for the camp must be checked by Dr. Rao.\n\n"
         "Collect the income certificate, sign the hostel undertaking and deposit it at the counter. "
-        "Guards holding a gate pass have to deposit the entry form along with the "
+        "Applicants holding a gate pass have to deposit the entry form along with the "
         "income certificate and a notarised copy of the lease by 20 September 2026."
     )
     rows = table_of(actions.with_candidates(docs(body)), "candidates", "doc_id").collect()
