@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docplan.functions import lexicon as L
 from docplan.functions import spans as S
+from docplan.operators.pairing import pairing
 
 CHANGE_TYPE = "struct<kind:string,severity:string,summary:string,before:string,after:string>"
 
@@ -36,60 +37,6 @@ def jaccard(a: str, b: str) -> str:
     return f"if(size({a}) = 0 OR size({b}) = 0, 0D, {shared} / cast({total} as double))"
 
 
-def pair_findings(previous: str, current: str, text) -> str:
-    """Greedy one-to-one pairing by word overlap, strongest pair first.
-
-    Returns ``{pairs: [{l, r}], added: [index], removed: [index]}`` over the
-    positions of both arrays; only overlaps of at least one half count. Both
-    arrays belong to one pair of documents.
-    """
-
-    def indexed(xs: str) -> str:
-        return f"transform({xs}, {S.lam(lambda x, i: S.struct(i=i, words=identity(text(x))), 2)})"
-
-    def scored(ls: str, rs: str) -> str:
-        pairs = S.transform(
-            ls,
-            lambda l: S.transform(
-                rs,
-                lambda r: S.struct(
-                    neg=f"-({jaccard(f'{l}.words', f'{r}.words')})", l=f"{l}.i", r=f"{r}.i"
-                ),
-            ),
-        )
-        return (
-            "array_sort("
-            + S.keep(f"flatten({pairs})", lambda p: f"{p}.neg <= -{S.lit(L.SAME_FINDING_AT)}")
-            + ")"
-        )
-
-    def greedy(candidates: str) -> str:
-        return (
-            f"aggregate({candidates}, {S.empty('struct<neg:double,l:int,r:int>')}, "
-            + S.lam(
-                lambda kept, p: f"if({S.any_of(kept, lambda k: f'{k}.l = {p}.l OR {k}.r = {p}.r')}"
-                f", {kept}, array_append({kept}, {p}))",
-                2,
-            )
-            + ")"
-        )
-
-    def result(pairs: str) -> str:
-        def unpaired(xs: str, side: str) -> str:
-            positions = f"transform({xs}, {S.lam(lambda x, i: i, 2)})"
-            taken = S.transform(pairs, lambda p: f"{p}.{side}")
-            return f"array_sort(array_except({positions}, {taken}))"
-
-        return S.struct(
-            pairs=pairs, added=unpaired(current, "r"), removed=unpaired(previous, "l")
-        )
-
-    return S.let_all(
-        [indexed(previous), indexed(current)],
-        lambda ls, rs: S.let(greedy(scored(ls, rs)), result),
-    )
-
-
 def _change(kind: str, severity: str, summary: str, before: str, after: str) -> str:
     return S.struct(
         kind=f"'{kind}'", severity=severity, summary=summary,
@@ -248,16 +195,17 @@ def paired_versions(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def with_pairings(pairs: DataFrame) -> DataFrame:
-    return pairs.selectExpr(
+    """Adds ``step_pairs`` and ``requirement_pairs``: findings of both versions paired by wording."""
+
+    def word_sets(findings: str, field: str) -> Column:
+        return F.expr(S.transform(findings, lambda x: identity(f"{x}.{field}")))
+
+    return pairs.select(
         "*",
-        S.let_all(
-            ["p.schedule", "c.schedule"],
-            lambda a, b: pair_findings(a, b, lambda x: f"{x}.description"),
-        ) + " as step_pairs",
-        S.let_all(
-            ["p.requirements", "c.requirements"],
-            lambda a, b: pair_findings(a, b, lambda x: f"{x}.text"),
-        ) + " as requirement_pairs",
+        pairing(word_sets("p.schedule", "description"), word_sets("c.schedule", "description"),
+                L.SAME_FINDING_AT).alias("step_pairs"),
+        pairing(word_sets("p.requirements", "text"), word_sets("c.requirements", "text"),
+                L.SAME_FINDING_AT).alias("requirement_pairs"),
     )
 
 
