@@ -136,6 +136,16 @@ def running_starts(lengths: str) -> str:
     return ordered_fold(lengths, "0", lambda st, x: (f"{st} + {x}", f"array({st})"), "int")
 
 
+#: Steps of a binary search over an array of any length.
+_STEPS = array(str(1 << k) for k in range(29, -1, -1))
+
+
+def last_begun(starts: str, offset: str) -> str:
+    """Place of the last of some ascending starts at or before an offset, -1 if there is none."""
+    step = lam(lambda n, w: f"if(coalesce(get({starts}, {n} + {w} - 1) <= {offset}, false), {n} + {w}, {n})", 2)
+    return f"(aggregate({_STEPS}, 0, {step}) - 1)"
+
+
 def mark(text: str, pattern: str) -> str:
     """Wrap every match of ``pattern`` in the two marks."""
     clean = f"translate({text}, {lit(OPEN + CLOSE)}, {lit('��')})"

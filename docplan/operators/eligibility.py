@@ -122,10 +122,21 @@ def category_criteria(text: str) -> str:
     return f"concat({of(L.CATEGORY_LIST)}, {of(L.CATEGORY_PHRASE)})"
 
 
-def _in_eligibility_sentence(text: str, m: str) -> str:
-    before = f"element_at(split(left({text}, {m}.char_start), '[.\\n]', -1), -1)"
-    following = S.group(S.after(text, f"{m}.char_start"), r"\A[^.\n]*[.\n]?", 0)
-    return S.has(f"concat({before}, {following})", L.ELIGIBILITY_MARKER)
+def _in_eligibility_sentences(text: str, found: str) -> str:
+    """Those of some matches whose sentence speaks of eligibility.
+
+    Such sentences are found once, in order; every match looks its own up by its start.
+    """
+    marked = S.keep(S.find_all(text, r"[^.\n]*[.\n]|[^.\n]+"), lambda s: S.has(f"{s}.text", L.ELIGIBILITY_MARKER))
+
+    def inside(m: str, starts: str, ends: str) -> str:
+        return f"coalesce(get({ends}, {S.last_begun(starts, f'{m}.char_start')}) > {m}.char_start, false)"
+
+    def kept(ms: str, bounds: str) -> str:
+        return S.keep(ms, lambda m: inside(m, f"{bounds}.starts", f"{bounds}.ends"))
+
+    bounds = S.let(marked, lambda s: S.struct(starts=f"{s}.char_start", ends=f"{s}.char_end"))
+    return S.let_all([found, bounds], kept)
 
 
 def domicile_programme_criteria(text: str) -> str:
@@ -142,8 +153,10 @@ def domicile_programme_criteria(text: str) -> str:
 
         return S.transform(matches or S.find_all(text, pattern), build)
 
-    degrees = S.keep(
-        S.find_all(text, L.PROGRAMME_DEGREE), lambda m: _in_eligibility_sentence(text, m)
+    degrees = S.when(
+        (f"{S.has(text, L.PROGRAMME_DEGREE)} AND {S.has(text, L.ELIGIBILITY_MARKER)}",
+         _in_eligibility_sentences(text, S.find_all(text, L.PROGRAMME_DEGREE))),
+        otherwise=S.empty(S.SPAN_TYPE),
     )
     students = lambda n: f"concat({n}, ' students')"
     return "concat(" + ", ".join([

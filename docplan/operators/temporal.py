@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from docplan.functions import lexicon as L
 from docplan.functions import spans as S
 from docplan.functions.claims import cap_score, classify_confidence, ocr_note
+from docplan.functions.rows import table_of
 
 TEMPORAL_TYPE = (
     "struct<char_start:int,char_end:int,text:string,kind:string,resolved:date,window_end:date,"
     "confidence:double,rationale:string,is_deadline:boolean,alternate:date,scan:int>"
 )
+TEMPORAL_FIELDS = [f.split(":")[0] for f in TEMPORAL_TYPE[len("struct<"):-1].split(",")]
 NULL_DATE = "cast(NULL as date)"
 
 
@@ -54,11 +55,48 @@ def add_working_days(start: str, count: str) -> str:
     return f"if({count} <= 0, {start}, date_add({base}, {count} + 2 * {weeks}))"
 
 
-def deadline_cue(text: str, position: str) -> str:
-    """Whether the clause around ``position`` frames the date as a cutoff."""
-    before = f"element_at(split(left({text}, {position}), {S.lit(L.CLAUSE_BREAK)}, -1), -1)"
-    following = S.head_of(S.after(text, position), L.CLAUSE_BREAK)
-    return f"({S.has(before, L.DEADLINE_CUE)} OR {S.has(following, L.DEADLINE_CUE)})"
+CUED_CLAUSES = "struct<starts:array<int>,first_end:array<int>,last_start:array<int>,char_end:array<int>>"
+
+
+def cued_clauses(text: str) -> str:
+    """The clauses that hold a deadline cue, in order: start, end of the first cue, start of the last, end.
+
+    Found in one pass over the text, so that a date looks up its clause instead of cutting the text again.
+    """
+
+    def cued(clause: str) -> str:
+        return S.let(S.find_all(f"{clause}.text", L.DEADLINE_CUE), lambda cues: S.struct(
+            start=f"{clause}.char_start",
+            first_end=f"{clause}.char_start + {cues}[0].char_end",
+            last_start=f"{clause}.char_start + element_at({cues}, -1).char_start",
+            char_end=f"{clause}.char_end",
+        ))
+
+    def columns(clauses: str) -> str:
+        return S.struct(
+            starts=f"{clauses}.start", first_end=f"{clauses}.first_end",
+            last_start=f"{clauses}.last_start", char_end=f"{clauses}.char_end")
+
+    def found(clauses: str) -> str:
+        return S.transform(S.keep(clauses, lambda c: S.has(f"{c}.text", L.DEADLINE_CUE)), cued)
+
+    clauses = S.spans_of(S.mark(text, L.CLAUSE_BREAK), which=0)
+    return S.when(
+        (S.has(text, L.DEADLINE_CUE), S.let(found(clauses), columns)), otherwise=f"cast(NULL as {CUED_CLAUSES})")
+
+
+def deadline_cue(clauses: str, position: str) -> str:
+    """Whether the clause around ``position`` frames the date as a cutoff, before or after that place."""
+
+    def framed(i: str) -> str:
+        return (
+            f"coalesce(get({clauses}.char_end, {i}) >= {position} AND "
+            f"(get({clauses}.first_end, {i}) <= {position} OR get({clauses}.last_start, {i}) >= {position}), false)"
+        )
+
+    return S.when(
+        (f"{clauses} IS NULL", "false"),
+        otherwise=S.let(S.last_begun(f"{clauses}.starts", position), framed))
 
 
 def _expression(m: str, **fields: str) -> str:
@@ -111,7 +149,6 @@ def named_dates(text: str, reference: str, day_first: bool) -> str:
                 confidence=f"if({year} = '', 0.72D, 0.97D)",
                 rationale=f"if({year} = '', {undated}, "
                 "'Day, month and year are all stated explicitly.')",
-                is_deadline=deadline_cue(text, f"{m}.char_start"),
                 scan="1" if day_first else "2",
             )
 
@@ -143,7 +180,6 @@ def numeric_dates(text: str) -> str:
                 confidence=f"if({ambiguous}, 0.45D, 0.88D)",
                 rationale=f"if({ambiguous}, {both}, "
                 "'Numeric date; only one field ordering yields a valid calendar date.')",
-                is_deadline=deadline_cue(text, f"{m}.char_start"),
                 alternate=f"if({ambiguous}, {month_first}, NULL)",
                 scan="3",
             )
@@ -259,7 +295,7 @@ def drop_covered(found: str) -> str:
 
 
 def temporal_expressions(text: str, reference: str) -> str:
-    """Every temporal expression, in document order."""
+    """Every temporal expression, in document order; absolute dates not yet judged as cutoffs."""
     found = ", ".join([
         date_windows(text, reference),
         named_dates(text, reference, day_first=True),
@@ -267,12 +303,24 @@ def temporal_expressions(text: str, reference: str) -> str:
         numeric_dates(text),
         relative_dates(text, reference),
     ])
+
     needed = r"(?iU)\d|\b(?:" + "|".join(L.NUMBER_WORDS) + r")\b"
     return S.when(
         (S.has(text, needed), drop_covered(f"concat({found})")), otherwise=S.empty(TEMPORAL_TYPE)
     )
 
 
+def with_cutoffs(found: str, clauses: str) -> str:
+    """Marks the absolute dates that a clause frames as a cutoff."""
+
+    def flag(e: str) -> str:
+        fields = {f: f"{e}.{f}" for f in TEMPORAL_FIELDS}
+        cue = deadline_cue(clauses, f"{e}.char_start")
+        return S.struct(**{**fields, "is_deadline": f"if({e}.kind = 'absolute', {cue}, {e}.is_deadline)"})
+
+    return S.transform(found, flag)
+
+
 def issue_date(text: str, fallback: str, head_chars: int | None = None) -> str:
     """The first date the document gives itself (in its first ``head_chars``, if limited), or ``fallback``."""
     opening = f"left({text}, {head_chars})" if head_chars else text
@@ -357,18 +405,17 @@ def primary_deadline(claims: str) -> str:
 # --- table operators --------------------------------------------------------
 
 
-def temporal_of(text: str, today: str) -> str:
-    """``{issued, temporal}``: relative periods count from the document's own date."""
-    return S.let(
-        text,
-        lambda t: S.let(
-            issue_date(t, today),
-            lambda ref: S.struct(issued=ref, temporal=temporal_expressions(t, ref)),
-        ),
+def with_temporal(docs: DataFrame, today: str) -> DataFrame:
+    """Adds ``issued`` and ``temporal``: relative periods count from the document's own date."""
+    return (
+        docs.selectExpr("*", f"{S.let('text', lambda t: issue_date(t, today))} as issued")
+        .selectExpr("*", f"{temporal_expressions('text', 'issued')} as _found")
+        .selectExpr("*", f"if(size(_found) > 0, {cued_clauses('text')}, NULL) as _clauses")
+        .selectExpr("*", f"{with_cutoffs('_found', '_clauses')} as temporal")
+        .drop("_found", "_clauses")
     )
 
 
 def extract_temporal(docs: DataFrame, today: str) -> DataFrame:
     """One row per temporal expression. ``today`` is the SQL text of a date."""
-    found = f"inline(({temporal_of('text', today)}).temporal)"
-    return docs.select("doc_id", F.expr(found)).drop("scan")
+    return table_of(with_temporal(docs.select("doc_id", "text"), today), "temporal", "doc_id").drop("scan")

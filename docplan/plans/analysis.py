@@ -12,7 +12,7 @@ from docplan.operators.gaps import with_gaps
 from docplan.operators.pages import with_pages
 from docplan.operators.proposals import merged_candidates, merged_gaps, with_proposals
 from docplan.operators.requirements import grouped_requirements
-from docplan.operators.temporal import deadline_claims, primary_deadline, temporal_of
+from docplan.operators.temporal import deadline_claims, primary_deadline, with_temporal
 from docplan.operators.text import title_claim_column
 from docplan.plans.schedule import is_feasible, unresolved_count, with_schedule
 
@@ -20,8 +20,7 @@ from docplan.plans.schedule import is_feasible, unresolved_count, with_schedule
 def with_dates(docs: DataFrame, today: str) -> DataFrame:
     """Adds ``issued``, ``temporal``, ``deadlines`` and ``primary_deadline``."""
     return (
-        docs.selectExpr("*", f"{temporal_of('text', today)} as _dates")
-        .selectExpr(*docs.columns, "_dates.issued", "_dates.temporal")
+        with_temporal(docs, today)
         .selectExpr(
             "*", f"{deadline_claims('temporal', 'text_confidence', 'source_kind')} as deadlines"
         )

@@ -114,7 +114,10 @@ def named_dates(spark, sf):
     found = S.let("text", lambda t: S.let(
         T.issue_date(t, _D),
         lambda ref: f"concat({T.named_dates(t, ref, True)}, {T.named_dates(t, ref, False)})"))
-    return plain_notices(spark, sf).selectExpr("doc_id", f"inline({found})").select(
+    dated = plain_notices(spark, sf).selectExpr(
+        "doc_id", f"{found} as found", f"{T.cued_clauses('text')} as clauses")
+    dated = dated.selectExpr("doc_id", f"{T.with_cutoffs('found', 'clauses')} as dates")
+    return table_of(dated, "dates", "doc_id").select(
         "doc_id", "char_start", "char_end", "text", "resolved", "confidence", "is_deadline"
     )
 
