@@ -123,6 +123,13 @@ _COORDINATED_NOTE = (
 )
 
 
+def _first_governed(cut: str) -> str:
+    """Place of the first verb in marked and cut text that nothing before it makes a noun; null without one."""
+    verbs = f"sequence(1, size({cut}) - 1, 2)"
+    governed = S.keep(verbs, lambda i: f"NOT {S.has(f'{cut}[{i} - 1]', L.NOUN_BEFORE)}")
+    return f"if(size({cut}) > 1, try_element_at({governed}, 1), NULL)"
+
+
 def governed_verbs(docs: DataFrame, column: str, min_sentence_chars: int | None = None) -> Findings:
     """Instructing sentences with the verb their obligation governs; with a minimum, long enough ones.
 
@@ -139,12 +146,13 @@ def governed_verbs(docs: DataFrame, column: str, min_sentence_chars: int | None
         f"char_length({S.group(f'{s}.text', L.OBLIGATION_PREFIX, 0)}), 0)"
     )
     found.add(scope=lambda s: f"lower({S.after(f'{s}.text', f'{s}.skipped')})")
+    found.add(cut=lambda s: S.segments(S.mark(f"{s}.scope", L.VERB_SPELLING)))
+    found.add(place=lambda s: _first_governed(f"{s}.cut"))
+    found.keep(lambda s: f"{s}.place IS NOT NULL")
     found.add(
-        form=lambda s: S.group(f"{s}.scope", L.GOVERNED_VERB, 2),
-        verb_end=lambda s: f"{s}.skipped + "
-        f"char_length({S.group(f'{s}.scope', L.GOVERNED_VERB, 0)})",
+        form=lambda s: f"{s}.cut[{s}.place]",
+        verb_end=lambda s: f"{s}.skipped + char_length(array_join(slice({s}.cut, 1, {s}.place + 1), ''))",
     )
-    found.keep(lambda s: f"{s}.form != ''")
     return found.add(verb=lambda s: bucket_of(f"{s}.form"), base=lambda s: base_of(f"{s}.form"))
 
 

@@ -93,3 +93,16 @@ def test_prerequisite_inherits_deadline(docs):
     steps = table_of(analyse(df, TODAY), "schedule", "doc_id").orderBy("ord").collect()
     assert [(s.action_id, str(s.effective_deadline), str(s.latest_start)) for s in steps] == [
         ("action-1", "2026-09-19", "2026-09-12"), ("action-2", "2026-09-20", "2026-09-19")]
+
+
+def test_noun_after_any_number_of_blanks(docs):
+    far = " " * 700
+    bodies = [f"Candidates must read the{far}report and then submit it.",
+              f"Candidates must{far}submit it.", "Students should re-submit, then attach the form.",
+              "All must carry the record.", f"Interns must\n{far}not a{far}report; a check shall end."]
+    rows = actions.governed_verbs(docs(*bodies), "found").df.selectExpr("doc_id", "inline(found)").collect()
+    got = {}
+    for r in rows:
+        assert bodies[r.doc_id][r.char_start + r.verb_end - len(r.form):r.char_start + r.verb_end].lower() == r.form
+        got.setdefault(r.doc_id, []).append(r.form)
+    assert got == {0: ["submit"], 1: ["submit"], 2: ["attach"]}
