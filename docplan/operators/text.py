@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,29 +71,55 @@ _FOLD = {
 _DELETED = "\u0003"
 
 
-def _character_tables() -> tuple[str, str, list[tuple[str, str]]]:
+def _character_tables() -> tuple[str, str, dict[str, str]]:
     """Compatibility and case folding per character, derived from Unicode.
 
-    Characters that fold to one character go through a single ``translate``;
-    letters, ligatures and signs that fold to several are replaced one by one.
+    Characters that fold to one go through a single ``translate``; the others
+    are a table of their own. No character beyond U+2FFFF folds to another.
     """
-    source, target, expanding = [], [], []
-    for code in range(0x20, 0xFFFF):
+    source, target, expanding = [], [], {}
+    for code in range(0x20, 0x30000):
         ch = chr(code)
         if 0xD800 <= code <= 0xDFFF or ch.isspace() or ch in _EXTRA_SPACE:
             continue
         folded = _FOLD.get(ch) or unicodedata.normalize("NFKC", ch).casefold() or ch
-        if folded == ch.lower():
+        if folded == ch or code < 0x80:
             continue
         if len(folded) == 1:
             source.append(ch)
             target.append(folded)
-        elif code < 0x250 or 0xFB00 <= code <= 0xFB06 or ch in _FOLD:
-            expanding.append((ch, folded))
+        else:
+            expanding[ch] = folded
     return "".join(source), "".join(target), expanding
 
 
+def _ranges(chars: Iterable[str]) -> str:
+    """A regular expression class of the characters, neighbours as ranges."""
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]"
+
+
 _FROM, _TO, _EXPANDING = _character_tables()
+_SEVERAL = _ranges(_EXPANDING)
+
+
+def _expand(ch: str) -> str:
+    """What a single character folds to: the first characters by one ``translate`` each, long foldings by name."""
+    long = {c: f for c, f in _EXPANDING.items() if len(f) > 4}
+    short = sorted((c for c in _EXPANDING if c not in long), key=lambda c: -len(_EXPANDING[c]))
+    parts = []
+    for k in range(4):
+        folded = "".join(_EXPANDING[c][k] for c in short if len(_EXPANDING[c]) > k)
+        parts.append(f"translate({ch}, {S.lit(''.join(short))}, {S.lit(folded)})")
+    named = [(f"{ch} = {S.lit(c)}", S.lit(f)) for c, f in long.items()]
+    return S.when(*named, otherwise=f"concat({', '.join(parts)})")
+
+
 RAW_TOKEN = rf"(?U)(?:[^{_SPACE}]|(?<=\p{{L}}[-‐‑])\s*[\r\n]\s*(?=\p{{L}}))+"
 _SOFT_HYPHEN = r"(?U)(?<=\p{L})[-‐‑](?=\s*[\r\n]\s*\p{L})"
 
@@ -104,16 +131,18 @@ def mask_breaks(token: str) -> str:
 
 
 def fold_characters(text: str) -> str:
-    """Case, compatibility forms and quotes folded; deletable characters dropped."""
+    """Case, compatibility forms and quotes folded; deletable characters dropped.
+
+    Texts without a character that folds to several pay for one ``translate`` more.
+    """
     out = f"translate({text}, {S.lit(_FROM + _DELETED)}, {S.lit(_TO)})"
-    special = "[" + "".join(ch for ch, _ in _EXPANDING) + "]"
-    expanded = "t"
-    for ch, folded in _EXPANDING:
-        expanded = f"replace({expanded}, {S.lit(ch)}, {S.lit(folded)})"
-    chain = S.let(out, lambda v: S.when(
-        (S.has(v, special), expanded.replace("replace(t,", f"replace({v},", 1)), otherwise=v
-    ))
-    return f"lower({chain})"
+
+    def expanded(v: str) -> str:
+        pieces = S.lam(lambda p, i: f"if({i} % 2 = 1, {_expand(p)}, {p})", 2)
+        return f"array_join(transform({S.segments(S.mark(v, _SEVERAL))}, {pieces}), '')"
+
+    return "lower(" + S.let(out, lambda v: S.when(
+        (f"translate({v}, {S.lit(''.join(_EXPANDING))}, '') != {v}", expanded(v)), otherwise=v)) + ")"
 
 
 def normalize(text: str) -> str:
