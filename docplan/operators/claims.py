@@ -58,11 +58,20 @@ PAGE_VIOLATIONS = {
 }
 
 
+PAGED_RULES = VIOLATIONS | PAGE_VIOLATIONS
+
+
+def broken_rules(rules: dict[str, str]) -> str:
+    """The names of the rules that a claim breaks."""
+    named = S.array(f"if({rule}, '{name}', NULL)" for name, rule in rules.items())
+    return f"array_compact({named})"
+
+
 def audit_claims(claims: DataFrame, *keys: str) -> DataFrame:
     """One row per broken rule; sound operators produce none. ``keys`` are kept beside the document's id."""
-    rules = VIOLATIONS | (PAGE_VIOLATIONS if {"page", "pages"} <= set(claims.columns) else {})
-    broken = S.array(f"if({rule}, '{name}', NULL)" for name, rule in rules.items())
-    return claims.selectExpr("doc_id", *keys, f"explode(array_compact({broken})) as violation")
+    rules = PAGED_RULES if {"page", "pages"} <= set(claims.columns) else VIOLATIONS
+    broken = claims.selectExpr("doc_id", *keys, f"explode_outer({broken_rules(rules)}) as violation")
+    return broken.where("violation IS NOT NULL")
 
 
 def actionable(claims: DataFrame) -> DataFrame:
