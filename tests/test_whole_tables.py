@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from docplan.operators import evidence, outputs, pages
+from docplan.operators import evidence, outputs, pages, quality
 from docplan.queries import registry
 from docplan.sources.notices import notices
 
@@ -89,3 +89,13 @@ def test_calendar_events_evaluate_the_schedule_once(spark):
     events = outputs.calendar_events(docs)
     assert plan_of(events).count("costly-pattern") == 1
     assert sorted(r.event_id for r in events.collect()) == ["1-a", "2-deadline"]
+
+
+def test_tallies_are_summed_before_arms_meet(spark):
+    """No exchange by the arm alone may carry the tallies themselves."""
+    tallies = spark.range(60).selectExpr(
+        "if(id % 2 = 0, 'rules', 'hybrid') as arm", "concat('s', id % 3) as stage", "1 as tp", "0 as fp", "0 as fn")
+    expected = spark.createDataFrame([("rules", 1), ("hybrid", 1)], "arm string, doc_id int")
+    scores = quality.ablation(tallies, expected, expected.where("arm = 'rules'"))
+    assert plan_of(scores).startswith("Join LeftAnti")
+    assert {(r.arm, r.stage, r.tp) for r in scores.collect()} == {("rules", f"s{i}", 10) for i in range(3)}
