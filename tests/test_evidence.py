@@ -1,5 +1,7 @@
 """Approximate quotes: threshold, far places, documents told apart."""
 
+import time
+
 from docplan.operators import evidence
 
 
@@ -30,3 +32,31 @@ def test_equal_quote_ids_of_two_documents(docs, spark):
     proposals = quotes.selectExpr("quote_id", "doc_id", "'action' as kind")
     rows = evidence.verify_proposals(proposals, evidence.anchored(quotes, texts)).collect()
     assert {r.doc_id: r.outcome for r in rows} == {0: "verified", 1: "hallucinated"}
+
+
+def test_spans_by_counted_tokens_are_those_of_all_tokens_folded(spark):
+    texts = [
+        "", "  a  b\n\n c", "Größe und ﬁne Worte", "ein Maß…", "of the co-\noperative", "x­y z", "dia ¨ cri", "İstanbul Ort",
+        "tab\tand wide gap \U0001d400lpha 𝟙 end", "well- \n known", "ﬃ ﬃ Straße", "A" * 50 + "ß" + " b" * 40,
+    ]
+    df = spark.createDataFrame([(text,) for text in texts], "text string").selectExpr("text", f"{evidence.normalize('text')} as hay")
+    spans = "transform(sequence(0, char_length(hay) - 1), i -> struct(i as lo, least(i + 3, char_length(hay)) as hi))"
+    df = df.where("hay != ''").selectExpr("*", f"{spans} as spans").localCheckpoint()
+    counted = df.where(f"NOT {evidence.S.has('text', evidence.UNEVEN)}")
+    assert counted.count() >= 7 and df.count() - counted.count() >= 4
+    for row in counted.selectExpr("text", f"{evidence._by_counted_tokens('text', 'hay', 'spans')} as a",
+                                  f"{evidence._by_folded_tokens('text', 'spans')} as b").collect():
+        assert row.a == row.b, row.text
+
+
+def test_quotes_in_even_texts_fold_few_tokens(docs, spark):
+    texts = docs(*[f"Nummer {i} größer " + "alle Wörter über die Straße " * 400 for i in range(100)])
+    df = texts.selectExpr("text", f"{evidence.normalize('text')} as hay", "array(struct(60 as lo, 70 as hi)) as spans").localCheckpoint()
+
+    def seconds(spans: str) -> float:
+        begin = time.time()
+        df.selectExpr(f"{spans} as p").write.format("noop").mode("overwrite").save()
+        return time.time() - begin
+
+    seconds(evidence.source_spans("text", "hay", "spans"))
+    assert seconds(evidence.source_spans("text", "hay", "spans")) < seconds(evidence._by_folded_tokens("text", "spans"))
