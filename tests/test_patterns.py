@@ -6,6 +6,8 @@ import time
 
 from docplan.functions import lexicon as L
 from docplan.functions import spans as S
+from docplan.operators.actions import with_candidates
+from docplan.operators.text import sentences
 
 BEGUN = re.compile(r"\(\?=\(\?-i:\[[^\]]*\]\)\)")
 
@@ -52,3 +54,27 @@ def test_head_compiles_once(spark):
     head, test = S.head_of("text", L.COORDINATED_VERB), f"string({S.has('text', L.COORDINATED_VERB)})"
     seconds(head), seconds(test)
     assert min(seconds(head) for _ in range(3)) < 2 * min(seconds(test) for _ in range(3)) + 0.3
+
+
+def test_flat_and_trimmed_as_before(spark):
+    rng = random.Random(8)
+    bits = ["a", "Pay", ".", " ", " ", "  ", "\n", "\n\n", "\t", " ", " ", "b!", "(c", "1.", "Dr", "No."]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    plain = S.replace("text", r"(?U)\s+", " ")
+    assert df.where(f"{S.flat('text')} != btrim({plain})").count() == 0
+    found = df.selectExpr("text", f"explode({sentences('text')}) as s")
+    assert found.count() > 3000
+    wrong = f"s.text != {S.replace('s.text', r'(?U)\A\s+|\s+\z', '')} OR substring(text, s.char_start + 1, char_length(s.text)) != s.text"
+    assert found.where(wrong).count() == 0
+    boundary = r"(?U)(?<=[.!?;])\s+(?=[A-Z(])|\n(?=\s*(?:\d+[.)]|[-•*]))|\n{2,}"
+    assert df.where(f"{S.mark('text', boundary)} != {S.mark('text', L.SENTENCE_BOUNDARY)}").count() == 0
+
+
+def test_unread_requirements_are_not_computed(docs):
+    texts = docs("Deposit the form along with the resume before 4 March 2026. Sign the form and upload it.")
+    full, short = with_candidates(texts), with_candidates(texts, requirements=False)
+    for name in ("description", "verb", "optional", "rationale"):
+        assert full.selectExpr(f"candidates.{name}").first() == short.selectExpr(f"candidates.{name}").first()
+    assert "requires" not in short.schema["candidates"].dataType.elementType.names
+    assert L.REQUIREMENT_CUE not in short._jdf.queryExecution().optimizedPlan().toString()
