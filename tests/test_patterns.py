@@ -9,7 +9,7 @@ from docplan.functions import spans as S
 from docplan.operators.actions import with_candidates
 from docplan.operators.text import sentences
 
-BEGUN = re.compile(r"\(\?=\(\?-i:\[[^\]]*\]\)\)")
+BEGUN = re.compile(r"\(\?=\(\?-i:\[[^\]]*\]\)\)(?:\(\?<!\(\?-i:\[A-Za-z\]\)\))?")
 
 
 def begun_patterns():
