@@ -4,10 +4,11 @@ verified by banded alignment.
 Texts are lower-case words without punctuation. Texts of equal word sequence form one node. Each of
 SKETCHES sketches of a node samples the least of its shingles of WIDTH words (NARROW ones in texts under BRIEF words), labelled with
 their occurrence so that repetitions count, and hashes them in their order in the text. A sketch has
-three depths, of 2, 5 and 12 shingles, each a refinement of the one before: a forest. Nodes that share
-a bucket of up to SMALL nodes are all candidates of each other. In a larger bucket every node meets
-two leaders, the least node and that of least scrambled node and bucket, and the bucket
-is split by the next depth. So candidates grow with members, not with their square. Texts under
+three depths, of 2, 5 and 12 shingles, each a refinement of the one before: a forest. In a first
+round every node meets the least node of its buckets, of the next depth too where a bucket has more than
+SMALL nodes; this makes a group of near copies one class. In a second round all nodes of a bucket of the
+first depth that are of different classes meet, whatever its size: larger buckets are cut into blocks, whose
+comparisons grow with the product of their nodes and those outside their largest class. Texts under
 ten words differ by one word at most; their buckets are their sequences less one word,
 which finds every such pair.
 
@@ -15,9 +16,7 @@ Candidates of unlike length or word profile (128 one-bit minima, which 3.5 stand
 cannot belong to similar texts) are left out. A pair is similar if the edit distance of its word
 sequences is at most (1 - THRESHOLD) of the longer one. The alignment walks the furthest points of the diagonals of a
 band that widens with the distance, so near copies cost little; a bound from the common words rejects
-most others first. In a first round every node meets the least one of its buckets, which makes a
-group of near copies one class; in a second round only nodes of different classes meet.
-Classes are the connected components of similar pairs, found with written intermediate results.
+most others first. Classes are the connected components of similar pairs, found with written intermediate results.
 
 Null and empty texts form one node, texts under five words match equal ones only. Repeated rows are
 members of the same node. An empty table gives an empty result. Columns other than id and text are
@@ -43,6 +42,8 @@ SKETCHES, THRESHOLD = 24, 0.8
 DEPTHS = (2, 5, 12)
 #: Buckets of more nodes are split by the next depth.
 SMALL = 64
+#: Nodes of a block of a large bucket.
+BLOCK = 1024
 #: Texts of fewer words are found by their sequences less one word, and of fewer than LEAST by equality.
 SHORT, LEAST = 10, 5
 #: One-bit minima of a word profile.
@@ -318,31 +319,68 @@ def led(shared: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (b.where("n != least").select(*_pair("n", "least")) for b in shared)).distinct()
 
 
-def unlike(shared: list[DataFrame], labels: DataFrame) -> DataFrame:
-    """Pairs of nodes of different classes so far: all those of a small bucket, and those with a large one's scrambled leader."""
-    known, parts = labels.select(F.xxhash64("node").alias("n"), F.xxhash64("label").alias("known")), []
-    for held in shared:
-        rows = settled(held.where("size > 2").join(known, "n", "left").select("n", "bucket", "size", F.coalesce("known", "n").alias("label")))
-        several = rows.groupBy("bucket").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"),
-            F.min(F.struct(F.col("n").bitwiseXOR(F.col("bucket")).alias("n"), "label")).alias("lead")).where("low != high").drop("low", "high")
-        open_ = settled(rows.join(several, "bucket"))
-        together = open_.where(f"size <= {SMALL}").groupBy("bucket").agg(F.sort_array(F.collect_set(F.struct("n", "label"))).alias("ns"))  # SMALL at most
-        parts.append(together.selectExpr(
-            "inline(flatten(transform(sequence(1, size(ns) - 1), i -> transform(filter(slice(ns, i + 1, size(ns)), m -> m.label != ns[i - 1].label), m -> "
-            "struct(ns[i - 1].n as n_a, m.n as n_b)))))"))
-        parts.append(open_.where(f"size > {SMALL} and label != lead.label").select(*_pair(F.col("n"), F.col("lead.n").bitwiseXOR(F.col("bucket")))))
-    return reduce(DataFrame.unionByName, parts).where("n_a != n_b").distinct()
+def unlike(shared: DataFrame, labels: DataFrame, each: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of nodes of different classes so far that share a bucket: all of them, in large buckets those that
+    `_sifted` would keep.
+
+    Large buckets are compared in blocks: the nodes outside their largest class with all nodes.
+    """
+    known = labels.select(F.xxhash64("node").alias("n"), F.xxhash64("label").alias("known"))
+    rows = settled(shared.where("size > 2").join(known, "n", "left").select("n", "bucket", "size", F.coalesce("known", "n").alias("label")))
+    several = rows.groupBy("bucket", "label").agg(F.count("*").alias("held")).groupBy("bucket").agg(
+        F.max(F.struct("held", "label")).alias("main"), F.sum("held").alias("all")).where("main.held < all")
+    open_ = settled(rows.join(several.select("bucket", F.col("main.label").alias("main"), (F.col("all") - F.col("main.held")).alias("others")), "bucket"))
+    together = open_.where(f"size <= {SMALL}").groupBy("bucket").agg(F.sort_array(F.collect_set(F.struct("n", "label"))).alias("ns"))  # SMALL at most
+    pairs = together.selectExpr(
+        "inline(flatten(transform(sequence(1, size(ns) - 1), i -> transform(filter(slice(ns, i + 1, size(ns)), m -> m.label != ns[i - 1].label), m -> "
+        "struct(ns[i - 1].n as n_a, m.n as n_b)))))")
+    large = settled(open_.where(f"size > {SMALL}").join(each, "n"))
+    return pairs.unionByName(_in_blocks(large, threshold)).distinct()
+
+
+def _in_blocks(large: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that `_sifted` keeps of each bucket's nodes outside the main class with its nodes of other classes than theirs.
+
+    Both sides are dealt to blocks of about BLOCK nodes by their scrambled n, and every block meets every other.
+    """
+    told = large.withColumns({"ups": F.ceil(F.col("others") / BLOCK).cast("int"), "downs": F.ceil(F.col("size") / BLOCK).cast("int")})
+    columns = ["bucket", "i", "j", "up", "n", "label", "is_other", "n_words", "p0", "p1"]
+    side = lambda up, own, of, met, meets: told.where("label != main" if up else "true").select(
+        "*", F.pmod(F.xxhash64("n", F.lit(own)), of).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(meets) - 1)).alias(met),
+        F.lit(up).alias("up"), (F.col("label") != F.col("main")).alias("is_other")).select(columns)
+
+    def run(rows: pa.Table) -> pa.Table:
+        get = {c: rows.column(c).to_numpy() for c in columns[3:]}
+        up = {c: v[get["up"]] for c, v in get.items()}
+        down = {c: v[~get["up"]] for c, v in get.items()}
+        found = []
+        for k in range(len(up["n"])):
+            # two nodes outside the main class meet twice, and count once
+            use = (down["label"] != up["label"][k]) & (~down["is_other"] | (down["n"] > up["n"][k]))
+            use &= np.abs(down["n_words"] - up["n_words"][k]) <= (1 - threshold) * np.maximum(down["n_words"], up["n_words"][k]) + 1e-9
+            at = np.flatnonzero(use)
+            differ = sum(np.bitwise_count(down[p][at].view(np.uint64) ^ up[p][k : k + 1].view(np.uint64)).astype(int) for p in ("p0", "p1"))
+            found.append((k, at[differ <= _most_bits(threshold)]))
+        a = np.repeat(up["n"], [len(at) for _, at in found]) if found else np.zeros(0, np.int64)
+        b = np.concatenate([down["n"][at] for _, at in found]) if found else np.zeros(0, np.int64)
+        return pa.table({"n_a": np.minimum(a, b), "n_b": np.maximum(a, b)})
+
+    both = side(True, "i", "ups", "j", "downs").unionByName(side(False, "j", "downs", "i", "ups"))
+    return both.groupBy("bucket", "i", "j").applyInArrow(run, "n_a bigint, n_b bigint")
+
+
+def _most_bits(threshold: float) -> float:
+    """The bits in which the word profiles of similar texts can differ."""
+    differ = (1 - threshold / (2 - threshold)) / 2  # a bit of a pair just at the threshold, by Jaccard similarity of its words
+    return PROFILE * differ + 3.5 * (PROFILE * differ * (1 - differ)) ** 0.5
 
 
 def _sifted(pairs: DataFrame, each: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose lengths and word profiles similar texts can have."""
-    differ = (1 - threshold / (2 - threshold)) / 2  # a bit of a pair just at the threshold, by Jaccard similarity of its words
-    limit = PROFILE * differ + 3.5 * (PROFILE * differ * (1 - differ)) ** 0.5
     side = lambda end: each.select(*[F.col(c).alias(f"{c}_{end}") for c in ("n", "n_words", "p0", "p1")])
     return pairs.join(side("a"), "n_a").join(side("b"), "n_b").where(
         f"abs(n_words_a - n_words_b) <= {1 - threshold} * greatest(n_words_a, n_words_b) + 1e-9 and "
-        f"bit_count(p0_a ^ p0_b) + bit_count(p1_a ^ p1_b) <= {limit}").select("n_a", "n_b").distinct()
+        f"bit_count(p0_a ^ p0_b) + bit_count(p1_a ^ p1_b) <= {_most_bits(threshold)}").select("n_a", "n_b").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -358,7 +396,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     codes = settled(coded.join(reps, (coded["node"] == reps["node"]) & coded["doc_id"].eqNullSafe(reps["rep"])).select(
         reps["n"], coded["node"], "codes").dropDuplicates(["node"]))
     labels = components(settled(_verified(_sifted(led(shared), slim, threshold), codes, threshold)))
-    more = settled(_verified(_sifted(unlike(shared, labels), slim, threshold), codes, threshold))
+    more = settled(_verified(_sifted(unlike(shared[0], labels, slim, threshold), slim, threshold), codes, threshold))
     # what the first links joined, and the others
     labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     return rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))

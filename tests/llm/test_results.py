@@ -232,6 +232,20 @@ def test_order_matters_to_sketches():
     assert not (near_copies.order_min_hash(a, a) == near_copies.order_min_hash(b, b)).any()
 
 
+def test_copies_that_share_only_crowded_buckets(make):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = [word() for _ in range(120)]
+    texts = []
+    for _ in range(150):
+        own = [word() for _ in range(80)]
+        # every second word of the own part differs: no three of them in a row are shared
+        texts += [" ".join(passage + own), " ".join(passage + [w if k % 2 else word() for k, w in enumerate(own)])]
+    found = {r["doc_id"]: r["class_id"] for r in near_copies.deduplicated(make(texts)).collect()}
+    joined = sum(found[2 * k] == found[2 * k + 1] == 2 * k for k in range(150))
+    assert joined >= 145  # a pair shares some bucket with probability 0.99
+
+
 def test_suffix_tree_scores(make, spark):
     texts = [" ".join(["The", "cat", "sat"][(k + i * i) % 3] for i in range(30 + k % 7)) for k in range(300)] + ["Zyzzyva QUÉ", "", None]
     docs = make(texts)
