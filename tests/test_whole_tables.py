@@ -99,3 +99,10 @@ def test_tallies_are_summed_before_arms_meet(spark):
     scores = quality.ablation(tallies, expected, expected.where("arm = 'rules'"))
     assert plan_of(scores).startswith("Join LeftAnti")
     assert {(r.arm, r.stage, r.tp) for r in scores.collect()} == {("rules", f"s{i}", 10) for i in range(3)}
+
+
+def test_kinds_of_matched_requirements_are_held_against_labels(spark):
+    """The kind of a match is right or wrong; a label without a match misses its kind too."""
+    kind = "array(named_struct('text', 'Income certificate', 'kind', 'document'), named_struct('text', 'bank details', 'kind', '{}'), named_struct('text', '{}', 'kind', 'document'))"
+    docs = spark.range(1).selectExpr(f"{kind.format('document', 'zonal bond')} as gold", f"{kind.format('information', 'resume')} as pred")
+    assert tuple(docs.selectExpr(f"{quality.match_requirements('gold', 'pred')} as t").first().t) == (2, 1, 1, 1, 1, 1)
