@@ -106,3 +106,19 @@ def test_kinds_of_matched_requirements_are_held_against_labels(spark):
     kind = "array(named_struct('text', 'Income certificate', 'kind', 'document'), named_struct('text', 'bank details', 'kind', '{}'), named_struct('text', '{}', 'kind', 'document'))"
     docs = spark.range(1).selectExpr(f"{kind.format('document', 'zonal bond')} as gold", f"{kind.format('information', 'resume')} as pred")
     assert tuple(docs.selectExpr(f"{quality.match_requirements('gold', 'pred')} as t").first().t) == (2, 1, 1, 1, 1, 1)
+
+
+def test_enquiry_drafts_hold_the_letters(spark, tmp_path):
+    """Query and SQL give each notice's letter, with every question in it."""
+    rows = [(k, k % 20, datetime.datetime(1996, 2, 15)) for k in range(72)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(20).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for name in ("orders", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, question_count, subject, body FROM ({registry.ORACLES['enquiry_drafts']})").fetchall()
+    got = registry.QUERIES["enquiry_drafts"](spark, str(tmp_path)).select("doc_id", "question_count", "subject", "body").collect()
+    assert sorted(want) == sorted(map(tuple, got)) and len(got) == 72
+    for row in got:
+        assert row.body.startswith("Dear Sir/Madam,") and all(f"\n{i + 1}. " in row.body for i in range(row.question_count))
+    assert any(row.question_count > 3 for row in got) and any("Does that cover" in row.body for row in got)
