@@ -209,8 +209,8 @@ def with_pairings(pairs: DataFrame) -> DataFrame:
     )
 
 
-def with_changes(pairs: DataFrame) -> DataFrame:
-    """Adds the ranked ``changes``, ``relatedness``, ``warning`` and ``headline``."""
+def with_changes(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The ``key`` with the ranked ``changes``, ``relatedness``, ``warning`` and ``headline``."""
     severity = "CASE {c}.severity WHEN 'critical' THEN 0 WHEN 'notable' THEN 1 ELSE 2 END"
 
     def every(p: str, c: str, steps: str, reqs: str) -> str:
@@ -234,17 +234,17 @@ def with_changes(pairs: DataFrame) -> DataFrame:
     return (
         with_pairings(pairs)
         .selectExpr(
-            "doc_id",
+            key,
             f"{S.let_all(['p', 'c', 'step_pairs', 'requirement_pairs'], every)} as _changes",
             f"{S.let_all([vocabulary('p'), vocabulary('c')], jaccard)} as _related",
         )
         .selectExpr(
-            "doc_id", "_related",
+            key, "_related",
             S.transform(f"array_sort(transform(_changes, {ranked}))", lambda r: f"{r}.c")
             + " as changes",
         )
         .selectExpr(
-            "doc_id", "changes", "round(_related, 3) as relatedness",
+            key, "changes", "round(_related, 3) as relatedness",
             f"if(_related < {S.lit(L.RELATED_AT)}, concat('These two documents have only ', "
             f"{S.percent('_related')}, ' of their wording in common, which is low for two versions "
             "of one notice. The changes below may simply be the differences between two unrelated "
